@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import word_bpe
@@ -341,7 +342,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
         for batch in batches:
             for block in blocks(batch):
                 counts = own.count(block.column("text").to_pylist())
-                size = pa.compute.fill_null(pa.compute.binary_length(block.column("text")), 0)
+                size = pc.fill_null(pc.binary_length(block.column("text")), 0)
                 yield pa.RecordBatch.from_arrays(
                     [block.column("doc_id"), size.cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(counts > LIMIT)],
                     ["doc_id", "n_bytes", "n_tokens", "over_limit"],
