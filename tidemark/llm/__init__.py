@@ -1,11 +1,12 @@
 """Operators for training-data pipelines; nothing else in the library imports this subpackage."""
 
-from tidemark.llm import bpe, chat, secrets, token_counts
+from tidemark.llm import ann, bpe, chat, secrets, token_counts
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_bpe_encoding": bpe.op3_bpe_encoding,
     "op8_token_counts": token_counts.op8_token_counts,
+    "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
 ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE_SQL}
