@@ -30,7 +30,9 @@ from tidemark.llm.common import cut, table
 #: Vectors that are sampled to fit the pivots (the bound of all that the driver collects), and pivots.
 SAMPLE, PIVOTS = 4096, 256
 #: Inverted files that a query reads (half from either end of its order); candidates ranked again, as a share of a shard.
-READ, SHARE = 96, 0.12
+READ, SHARE = 96, 0.08
+#: Footrule up to which candidates are ranked again, as a multiple of the largest of the nearest found.
+SLACK = 1.15
 SHARD, BLOCK = 4096, 2048
 
 
@@ -89,9 +91,15 @@ class Shard:
         most = min(n, max(256, int(share * n)))
         # Ties of the last place go to entries of smaller ids.
         best = np.sort(np.argpartition(footrule.astype(np.int64) * n + np.arange(n), most - 1)[:most]) if most < n else np.arange(n)
-        score = (self.x[best] * q).sum(axis=1)
+        while True:
+            score = (self.x[best] * q).sum(axis=1)
+            top = np.lexsort((best, -score))[: k + 1]
+            # Where the nearest lie close to the edge of what was ranked (a dense cluster), the edge moves outwards.
+            within = np.flatnonzero(footrule <= SLACK * footrule[best[top]].max())
+            if len(best) == n or len(within) <= 1.25 * len(best):
+                break
+            best = np.union1d(best, within)
         # An entry's k + 1 smallest ids hold all of it that can be among the nearest.
-        top = np.lexsort((best, -score))[: k + 1]
         ids = [self.ids[self.starts[e] : min(self.starts[e + 1], self.starts[e] + k + 1)] for e in best[top]]
         score = np.repeat(score[top], [len(x) for x in ids])
         ids = np.concatenate(ids)
