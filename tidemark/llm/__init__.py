@@ -1,12 +1,13 @@
 """Operators for training-data pipelines; nothing else in the library imports this subpackage."""
 
-from tidemark.llm import ann, bpe, chat, fingerprints, secrets, token_counts
+from tidemark.llm import ann, bpe, chat, fingerprints, near_dedup, secrets, token_counts
 
 QUERIES = {
     "op1_chat_formatting": chat.op1_chat_formatting,
     "op2_secret_scans": secrets.op2_secret_scans,
     "op3_bpe_encoding": bpe.op3_bpe_encoding,
     "op5_fingerprints": fingerprints.op5_fingerprints,
+    "op6_near_dedup": near_dedup.op6_near_dedup,
     "op8_token_counts": token_counts.op8_token_counts,
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
