@@ -151,6 +151,20 @@ def redact(text, spans):
     return F.aggregate(spans, state, step, lambda acc: F.concat(acc["out"], text.substr(acc["at"] + 1, F.length(text))))
 
 
+def redact_documents(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """``documents`` with secrets redacted; ``n_chars``, if there is one, follows the new texts."""
+    fresh = cut(scan(address(documents), ledger, rules))
+    known = fresh if ledger is None else ledger.unionByName(fresh)
+    found = merged(known.filter(F.size("findings") > 0)).select("blob_id", F.col("findings").alias("_spans"))
+    names = documents.columns
+    joined = documents.withColumn("blob_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, "blob_id", "left")
+    text = F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
+    joined = joined.withColumn("text", text)
+    if "n_chars" in names:
+        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.select(*names)
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     versions = address(table(spark, sf_dir, "documents"))
     ledger = cut(scan(versions))
