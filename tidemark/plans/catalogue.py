@@ -90,10 +90,10 @@ def _(spark, sf_dir):
     return rows.withColumn("ds", X.parse_ds(F.col("text")))
 
 
-@query("drop_null_y", f"WITH {DAILY} SELECT series, count(*) AS n, round(sum(y), 1) AS total FROM daily WHERE day(ds) <> 1 GROUP BY 1")
+@query("drop_null_y", f"WITH {DAILY} SELECT series, count(*) AS n, round(sum(y), 2) AS total FROM daily WHERE day(ds) <> 1 GROUP BY 1")
 def _(spark, sf_dir):
     rows = daily(spark, sf_dir).withColumn("y", F.when(F.dayofmonth("ds") != 1, F.col("y")))
-    return prepare.drop_null_y(rows).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("y"), 1).alias("total"))
+    return prepare.drop_null_y(rows).groupBy("series").agg(F.count("*").alias("n"), F.round(F.sum("y"), 2).alias("total"))
 
 
 @query("min_rows_check", "SELECT o_custkey AS series, count(*) AS n_obs, CASE WHEN count(*) < 2 THEN 'Dataframe has less than 2 non-NaN rows' END AS error FROM orders GROUP BY 1")
