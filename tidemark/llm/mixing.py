@@ -55,9 +55,9 @@ def rates(documents: DataFrame, weights: Mapping[str, float] | None = None, rest
         for source, value in (weights or {}).items():
             weight = F.when(F.col("source") == source, F.lit(float(value))).otherwise(weight)
     sizes = sizes.withColumn("weight", weight)
-    total = sizes.agg(F.sum("n").alias("rows"), F.sum("weight").alias("weights"))
-    rate = F.when(F.col("weights") > 0, F.lit(float(epochs)) * F.col("rows") * F.col("weight") / F.col("weights") / F.col("n")).otherwise(0.0)
-    return sizes.crossJoin(total).select("source", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))  # total has one row
+    rows, total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0.0))).first()
+    rate = F.lit(float(epochs)) * F.lit(float(rows)) * F.col("weight") / F.lit(float(total)) / F.col("n") if total > 0 else F.lit(0.0)
+    return sizes.select("source", rate.alias("rate")).withColumn("cdf", cumulative(F.col("rate")))
 
 
 def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, rest: float = 1.0, tempered: float | None = None, epochs: float = 1.0, seed: int = SEED, key: str = "doc_id") -> DataFrame:
