@@ -24,8 +24,10 @@ from tidemark.llm import word_bpe
 from tidemark.llm.common import blocks, table
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps; beyond that it starts anew.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker keeps (about 30 MB); beyond that it starts anew.
+KEPT_WORDS = 150_000
+#: Bytes of text in a block.
+BLOCK = 2 << 20
 
 
 def merge_words(bpe: word_bpe.WordBpe, words: list[str]) -> list[list[int]]:
@@ -127,7 +129,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for block in blocks(batch, text):
+            for block in blocks(batch, text, BLOCK):
                 found = own.encode(block.column(text).to_pylist())
                 offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in found])]).astype("i4")
                 flat = np.frombuffer(b"".join(found), "<u4").astype("i4")
@@ -156,7 +158,7 @@ def op3_bpe_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, most=BLOCK):
                 ids = own.encode(block.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict(
                     {

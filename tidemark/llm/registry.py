@@ -1,4 +1,4 @@
-"""Operators for training-data pipelines; nothing else in the library imports this subpackage."""
+"""The registered queries of the corpus operators and their SQL twins."""
 
 from tidemark.llm import ann, bpe, chat, fingerprints, mixing, near_dedup, quality, secrets, token_counts, toxicity
 

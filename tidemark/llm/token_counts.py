@@ -33,6 +33,8 @@ VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Characters in a chunk, and cells of the transition table beyond which a worker compiles anew.
 CHUNK, MOST_CELLS = 1024, 24_000_000
+#: Bytes of text in a block.
+BLOCK = 4 << 20
 #: States that every table has: before the first white space of a chunk, and between words.
 WAITING, BETWEEN = 0, 1
 
@@ -327,7 +329,7 @@ def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_to
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for batch in batches:
-            for block in blocks(batch, text):
+            for block in blocks(batch, text, BLOCK):
                 counts = own.count(block.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([*block.columns, pa.array(counts, pa.int64())], [*names, into])
 
@@ -340,7 +342,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = transducer(path)
         for batch in batches:
-            for block in blocks(batch):
+            for block in blocks(batch, most=BLOCK):
                 counts = own.count(block.column("text").to_pylist())
                 size = pc.fill_null(pc.binary_length(block.column("text")), 0)
                 yield pa.RecordBatch.from_arrays(

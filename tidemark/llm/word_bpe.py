@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import json
 import re
-from functools import lru_cache
-
-from tokenizers import Tokenizer
+from functools import cached_property, lru_cache
 
 # Fixed values of the file format: letters and numbers among Latin-1 code points, white space, and the splitting pattern.
 LETTERS = "A-Za-zªµºÀ-ÖØ-öø-ÿ"
@@ -40,7 +38,7 @@ class WordBpe:
         if steps != (["NFC", "Replace", "Lowercase"], ["Split", "ByteLevel"]) or split["pattern"] != {"Regex": SPLIT} or model["end_of_word_suffix"] != WORD_END or spec["decoder"] is not None:
             raise ValueError(f"{path}: not a lower-cased BPE vocabulary with word ends")
         vocab: dict[str, int] = model["vocab"]
-        self.library = Tokenizer.from_file(path)
+        self.path = path
         self.specials = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.tokens = [""] * (max(*vocab.values(), *self.specials.values()) + 1)
         for token, at in (*vocab.items(), *self.specials.items()):
@@ -60,6 +58,13 @@ class WordBpe:
         self._words = re.compile("|".join([*CONTRACTIONS, f"[{LETTERS}]+", f"[{NUMBERS}]", f"[^{SPACES}{LETTERS}{NUMBERS}]+"]))
         self._special = re.compile("|".join(re.escape(x) for x in sorted(self.specials, key=len, reverse=True))) if self.specials else None
 
+    @cached_property
+    def library(self):
+        """The library's tokenizer; only texts beyond Latin-1 need it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def segments(self, text: str) -> list[str]:
         """Plain segments at even places, special strings between them."""
         if self._special is None or not any(x in text for x in self.specials):
