@@ -4,12 +4,15 @@
 2. Texts of equal sets form a class; its smallest document stands for it from here on.
 3. Representatives that share a band key meet in a bucket.  Each is compared with the bucket pivot (smallest member) with
    which it shares most bands, on the full sets made anew from the texts; confirmed links are grouped.
-4. Buckets whose members are still in different groups are searched once more, on the signatures: members outside the
-   pivot's group against all others, in chunks.  Pairs that can reach the threshold are compared on full sets too.
+4. Buckets whose members are still in different groups are searched on the signatures: members outside the pivot's group
+   against all others, in chunks.  First each takes, in its largest bucket, the likeliest partner of another group in
+   each chunk, which joins nearly all that belong together; then, of what is still apart, every pair that can reach the
+   threshold is taken, in the first bucket that it shares (in large buckets by longer signatures, which leave few pairs
+   below it).  These pairs are compared on full sets too.
 5. Documents take the smallest document of their group.
 
 A pair at the threshold misses all 32 bands with a probability of 5e-6, and one that step 4 drops by its signature lies
-over five standard deviations below.  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
+over four standard deviations below.  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
 classes and groups are pre-aggregated or joined so that the adaptive skew join can split them.
 
 Defined results: a null text counts as empty; a text without words is linked with nothing; repeated rows are copies; rows
@@ -32,8 +35,11 @@ from tidemark.llm.shingles import mix, shingle_sets, super_minhash
 THRESHOLD = 75  # percent
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
-#: Equal places below which a pair can't reach the threshold, and from which on it surely does.
-PLAUSIBLE, SURE = 70, 116
+#: Equal places below which a pair can't be expected to reach the threshold (96 in the mean, deviation under 4).
+PLAUSIBLE = 80
+#: Members from which on a bucket counts as large, and places of its members' longer signatures in the last search, with
+#: the equal ones that a pair needs there (768 in the mean at the threshold, deviation under 11).
+LARGE, LONG_PLACES, LONG_PLAUSIBLE = 32, 1024, 722
 #: Members of a bucket in a chunk of step 4, and words of the fixed-size filter of wanted documents (64 bits each).
 CHUNK, FILTER_WORDS = 256, 1 << 19
 BLOCK = 2 << 20
@@ -138,8 +144,23 @@ def groups(links: DataFrame) -> DataFrame:
     return found
 
 
-def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of step 4 from rows (key, pc, bc, probe, id, root, n, sig) in order of the first three."""
+def long_signatures(documents: DataFrame) -> DataFrame:
+    """(id, sig): LONG_PLACES places of each text, 8 bits a place."""
+    part = 256
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in blocks(batch, most=BLOCK):
+                doc, value = shingle_sets(block.column("text").to_pylist())
+                parts = [super_minhash(doc, mix(value + np.uint64(salt)), block.num_rows, part) for salt in range(1, LONG_PLACES // part + 1)]
+                small = mix(np.hstack(parts).astype(np.uint64)).astype(np.uint8)
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x.tobytes() for x in small], pa.binary())], ["id", "sig"])
+
+    return documents.mapInArrow(run, "id long, sig binary")
+
+
+def _search(batches: Iterator[pa.RecordBatch], all_pairs: bool, places: int = PLACES, plausible: int = PLAUSIBLE) -> Iterator[pa.RecordBatch]:
+    """Pairs of step 4 from rows (key, pc, bc, probe, id, root, n, sig, keys) in order of the first three."""
 
     def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
@@ -148,24 +169,27 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for start, end in zip(edges[:-1], edges[1:], strict=True):
             own = slice(start, end)
             probe = rows["probe"][own]
-            ids, roots, sizes, sig = rows["id"][own], rows["root"][own], rows["n"][own], rows["sig"][own]
+            ids, roots, sizes, sig, keys = (rows[c][own] for c in ("id", "root", "n", "sig", "keys"))
             x, y = np.flatnonzero(probe), np.flatnonzero(~probe)
             if not len(x) or not len(y):
                 continue
             # 100 * common >= 75 * union can hold only where the smaller set has three quarters of the larger one.
             may = (roots[x][:, None] != roots[y]) & (100 * np.minimum(sizes[x][:, None], sizes[y]) >= THRESHOLD * np.maximum(sizes[x][:, None], sizes[y]))
             at, to = np.nonzero(may)
-            equal = (sig[x[at]] == sig[y[to]]).sum(axis=1)
-            kept = equal >= PLAUSIBLE
+            equal = np.concatenate([(sig[x[at[i : i + 4096]]] == sig[y[to[i : i + 4096]]]).sum(axis=1) for i in range(0, max(1, len(at)), 4096)])
+            kept = equal >= plausible
             at, to, equal = at[kept], to[kept], equal[kept]
-            # Of the pairs of one probe and one group, a sure one speaks for all.
-            order = np.lexsort((-equal, roots[y[to]], at))
-            at, to, equal = at[order], to[order], equal[order]
-            lead = np.ones(len(at), bool)
-            lead[1:] = (at[1:] != at[:-1]) | (roots[y[to[1:]]] != roots[y[to[:-1]]])
-            top = equal[lead][np.cumsum(lead) - 1] if len(at) else equal
-            kept = lead | (top < SURE)
-            p, q = ids[x[at[kept]]], ids[y[to[kept]]]
+            if all_pairs:
+                first = np.argmax(keys[x[at]] == keys[y[to]], axis=1) if len(at) else at
+                here = keys[x[at], first] == rows["key"][start]
+                at, to = at[here], to[here]
+            else:
+                order = np.lexsort((ids[y[to]], -equal, at))
+                at, to = at[order], to[order]
+                lead = np.ones(len(at), bool)
+                lead[1:] = at[1:] != at[:-1]
+                at, to = at[lead], to[lead]
+            p, q = ids[x[at]], ids[y[to]]
             out.append((np.maximum(p, q), np.minimum(p, q)))
         return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
@@ -175,7 +199,8 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "pc", "bc", "probe", "id", "root", "n")}
         rows["probe"] = rows["probe"].astype(bool)
-        rows["sig"] = np.frombuffer(b"".join(x.as_py() for x in batch.column("sig")), np.uint8).reshape(-1, PLACES)
+        rows["sig"] = np.frombuffer(b"".join(x.as_py() for x in batch.column("sig")), np.uint8).reshape(-1, places)
+        rows["keys"] = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
         last = (rows["key"] == rows["key"][-1]) & (rows["pc"] == rows["pc"][-1]) & (rows["bc"] == rows["bc"][-1])
@@ -188,6 +213,39 @@ def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64())], ["a", "b"])
 
 
+def still_apart(buckets: DataFrame, classes: DataFrame, found: DataFrame, documents: DataFrame, all_pairs: bool) -> DataFrame:
+    """(a, b): pairs of a bucket in different groups of ``found`` (id, root) that may reach the threshold."""
+    placed = cut(buckets.join(found, "id", "left").select("key", "id", "pivot", F.coalesce("root", "id").alias("root")))
+    pivot_root = found.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
+    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("pivot").alias("pivot"), F.count("*").alias("m")).filter("low < high")
+    mixed = cut(mixed.join(pivot_root, "pivot", "left").select("key", F.coalesce("pivot_root", "pivot").alias("pivot_root"), "m"))
+    members = cut(placed.select("key", "id", "root").join(mixed, "key"))
+    minor = members.filter("root <> pivot_root").select("key", "id", "m")
+    if not all_pairs:
+        minor = minor.groupBy("id").agg(F.max(F.struct("m", "key")).alias("top")).select("top.key", "id")
+    minor = cut(minor.select("key", "id", F.lit(True).alias("minor")))
+    minors = cut(minor.groupBy("key").agg(F.count("*").alias("minors")))
+    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
+    mine = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
+    every = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
+    members = members.join(minors, "key").join(minor, ["key", "id"], "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
+    members = cut(members.join(classes.select("id", "n", "sig", "keys"), "id"))
+
+    def searched(rows: DataFrame, places: int, plausible: int) -> DataFrame:
+        fields = ["key", "id", "root", "n", "sig", "keys"]
+        probes = rows.filter("minor").select(*fields, mine("minors").alias("pc"), F.explode(every("m")).alias("bc"), F.lit(True).alias("probe"))
+        others = rows.select(*fields, F.explode(every("minors")).alias("pc"), mine("m").alias("bc"), F.lit(False).alias("probe"))
+        dealt = probes.unionByName(others).repartition("key", "pc", "bc").sortWithinPartitions("key", "pc", "bc")
+        return dealt.select("key", "pc", "bc", "probe", "id", "root", "n", "sig", "keys").mapInArrow(lambda batches: _search(batches, all_pairs, places, plausible), "a long, b long")
+
+    if not all_pairs:
+        return searched(members, PLACES, PLAUSIBLE).distinct()
+    large = cut(members.filter(F.col("m") > LARGE).drop("sig"))
+    texts = only(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), large.select("id").distinct())
+    longer = large.join(cut(long_signatures(texts)), "id")
+    return searched(members.filter(F.col("m") <= LARGE), PLACES, PLAUSIBLE).unionByName(searched(longer, LONG_PLACES, LONG_PLAUSIBLE)).distinct()
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each document."""
     base = cut(describe(documents))
@@ -201,30 +259,15 @@ def near_groups(documents: DataFrame) -> DataFrame:
     buckets = cut(rows.join(pivots, "key"))
     shared = buckets.filter("id <> pivot").groupBy("id", "pivot").agg(F.count("*").alias("k"))
     best = shared.groupBy("id").agg(F.max(F.struct("k", (-F.col("pivot")).alias("p"))).alias("best"))
-    pairs = cut(best.select(F.col("id").alias("a"), (-F.col("best.p")).alias("b")))
-    links = cut(confirm(pairs, documents).distinct())
+    tried = cut(best.select(F.col("id").alias("a"), (-F.col("best.p")).alias("b")))
+    links = cut(confirm(tried, documents).distinct())
     found = groups(links)
-
-    # Step 4.
-    label = F.coalesce("root", "id").alias("root")
-    placed = cut(buckets.join(found, "id", "left").select("key", "id", "pivot", label))
-    pivot_root = found.select(F.col("id").alias("pivot"), F.col("root").alias("pivot_root"))
-    mixed = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min("pivot").alias("pivot"), F.count("*").alias("m")).filter("low < high")
-    mixed = cut(mixed.join(pivot_root, "pivot", "left").select("key", F.coalesce("pivot_root", "pivot").alias("pivot_root"), "m"))
-    members = cut(placed.select("key", "id", "root").join(mixed, "key").withColumn("minor", F.col("root") != F.col("pivot_root")))
-    minors = cut(members.filter("minor").groupBy("key").agg(F.count("*").alias("minors")))
-    chunks = lambda n: F.ceil(F.col(n) / CHUNK).cast("int")
-    mine = lambda n: F.pmod(F.xxhash64("id"), chunks(n)).cast("int")
-    every = lambda n: F.sequence(F.lit(0), chunks(n) - 1)
-    members = cut(members.join(minors, "key").join(classes.select("id", "n", "sig"), "id"))
-    fields = ["key", "id", "root", "n", "sig"]
-    probes = members.filter("minor").select(*fields, mine("minors").alias("pc"), F.explode(every("m")).alias("bc"), F.lit(True).alias("probe"))
-    others = members.select(*fields, F.explode(every("minors")).alias("pc"), mine("m").alias("bc"), F.lit(False).alias("probe"))
-    dealt = probes.unionByName(others).repartition("key", "pc", "bc").sortWithinPartitions("key", "pc", "bc")
-    more = dealt.select("key", "pc", "bc", "probe", "id", "root", "n", "sig").mapInArrow(_search, "a long, b long").distinct()
-    more = cut(more.join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        found = groups(links.unionByName(confirm(more, documents)))
+    for all_pairs in (False, True):
+        more = cut(still_apart(buckets, classes, found, documents, all_pairs).join(tried, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            tried = tried.unionByName(more)
+            links = links.unionByName(cut(confirm(more, documents)))
+            found = groups(links)
 
     named = cut(classes.select("id", *sets).join(found, "id", "left").select(*sets, F.coalesce("root", "id").alias("component_id")))
     return base.select("doc_id", *sets).join(named, sets, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
