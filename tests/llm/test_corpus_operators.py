@@ -135,6 +135,37 @@ def test_near_groups_equal_brute_force(spark, documents, monkeypatch):
     assert near_dedup.near_groups(documents(rows).limit(0)).count() == 0
 
 
+def test_no_pair_is_dropped_by_its_signature(spark, documents):
+    # 858 of 1142 shingles in common, 78 of 128 equal places; the second meets its pivot, the first row, in more bands.
+    one = [f"a650x{i}" for i in range(1004)]
+    two = one[:862] + [f"b650x{i}" for i in range(142)]
+    rows = [(1, " ".join([f"p650x{i}" for i in range(165)] + two[165:]), "s"), (2, " ".join(one), "s"), (3, " ".join(two), "s")]
+    doc, value = shingles.shingle_sets([t for _, t, _ in rows])
+    sig = shingles.super_minhash(doc, value, 3, 128)
+    assert (sig[1] == sig[2]).sum() < 80
+    found = near_dedup.near_groups(documents(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows) == {1: (1000, 1), 2: (1000, 2), 3: (1000, 2)}
+
+
+def test_bitmaps_never_rule_out_a_pair_at_the_threshold(spark):
+    rng = np.random.default_rng(3)
+    texts = []
+    for n in (1, 2, 7, 15, 17, 31, 33, 120, 1000, 40_000):
+        for kept in (1.0, 0.95, 0.86, 0.7, 0.2):
+            own = [f"x{i}" for i in range(n + 4)]
+            at = int(kept * len(own))
+            texts.append(" ".join(own[:at] + [f"y{rng.random()}" for _ in range(len(own) - at)]))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bits = {r.id: bytes(r.sig) for r in near_dedup.bitmaps(df).collect()}
+    doc, value = shingles.shingle_sets(texts)
+    sets = [set(value[doc == i].tolist()) for i in range(len(texts))]
+    pairs = [(a, b) for a, b in itertools.combinations(range(len(texts)), 2) if 4 * min(len(sets[a]), len(sets[b])) >= 3 * max(len(sets[a]), len(sets[b]))]
+    x, y = np.array(pairs).T
+    found = near_dedup.differing(np.array([bits[i] for i in range(len(texts))], object), x, y)
+    real = np.array([len(sets[a] ^ sets[b]) for a, b in pairs])
+    assert (found <= real).all() and (found[real > 0] > 0).mean() > 0.9 and len({len(bits[a]) != len(bits[b]) for a, b in pairs}) == 2
+
+
 def test_super_minhash_has_less_variance():
     rng, found = np.random.default_rng(0), []
     for _ in range(150):

@@ -7,12 +7,12 @@
 4. Buckets whose members are still in different groups are searched on the signatures: members outside the pivot's group
    against all others, in chunks.  First each takes, in its largest bucket, the likeliest partner of another group in
    each chunk, which joins nearly all that belong together; then, of what is still apart, every pair that can reach the
-   threshold is taken, in the first bucket that it shares (in large buckets by longer signatures, which leave few pairs
-   below it).  These pairs are compared on full sets too.
+   threshold is taken, in the first bucket that it shares: sizes and parity bitmaps of the sets rule out only pairs that
+   provably lie below it.  These pairs are compared on full sets too.
 5. Documents take the smallest document of their group.
 
-A pair at the threshold misses all 32 bands with a probability of 5e-6, and one that step 4 drops by its signature lies
-over four standard deviations below.  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
+A pair at the threshold misses all 32 bands with a probability of 5e-6; that is the only loss.  (The signature cut of the
+first search of step 4 loses nothing: the second search takes up all that is still apart.)  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
 classes and groups are pre-aggregated or joined so that the adaptive skew join can split them.
 
 Defined results: a null text counts as empty; a text without words is linked with nothing; repeated rows are copies; rows
@@ -35,11 +35,11 @@ from tidemark.llm.shingles import mix, shingle_sets, super_minhash
 THRESHOLD = 75  # percent
 BANDS, ROWS = 32, 4
 PLACES = BANDS * ROWS
-#: Equal places below which a pair can't be expected to reach the threshold (96 in the mean, deviation under 4).
+#: Equal places that a partner needs in the first search of step 4, which only chooses what is compared early.
 PLAUSIBLE = 80
-#: Members from which on a bucket counts as large, and places of its members' longer signatures in the last search, with
-#: the equal ones that a pair needs there (768 in the mean at the threshold, deviation under 11).
-LARGE, LONG_PLACES, LONG_PLAUSIBLE = 32, 1024, 722
+#: A set's parity bitmap has the power of two from 4 bits a shingle on; sets that are not large have the bits of one of
+#: LARGE shingles (64 at least), and no bitmap has more than MOST_BITS.
+LARGE, MOST_BITS = 32, 1 << 16
 #: Members of a bucket in a chunk of step 4, and words of the fixed-size filter of wanted documents (64 bits each).
 CHUNK, FILTER_WORDS = 256, 1 << 19
 BLOCK = 2 << 20
@@ -144,23 +144,48 @@ def groups(links: DataFrame) -> DataFrame:
     return found
 
 
-def long_signatures(documents: DataFrame) -> DataFrame:
-    """(id, sig): LONG_PLACES places of each text, 8 bits a place."""
-    part = 256
+def bitmaps(documents: DataFrame) -> DataFrame:
+    """(id, sig): for each text, which cells (of the shingles' hashes) hold an odd number of its shingles, a bit a cell.
+
+    Where two bitmaps differ, a cell holds a shingle of one set alone, so two sets differ in at least as many shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks(batch, most=BLOCK):
                 doc, value = shingle_sets(block.column("text").to_pylist())
-                parts = [super_minhash(doc, mix(value + np.uint64(salt)), block.num_rows, part) for salt in range(1, LONG_PLACES // part + 1)]
-                small = mix(np.hstack(parts).astype(np.uint64)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array([x.tobytes() for x in small], pa.binary())], ["id", "sig"])
+                n = np.bincount(doc, minlength=block.num_rows)
+                bits = np.array([min(MOST_BITS, 1 << int(4 * max(k, LARGE, 16) - 1).bit_length()) for k in n], np.int64)
+                start = np.cumsum(bits) - bits
+                cell = start[doc] + (mix(value) & (bits[doc] - 1).astype(np.uint64)).astype(np.int64)
+                packed = np.packbits((np.bincount(cell, minlength=int(bits.sum())) & 1).astype(np.uint8), bitorder="little")
+                parts = [packed[x // 8 : (x + y) // 8].tobytes() for x, y in zip(start, bits, strict=True)]
+                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(parts, pa.binary())], ["id", "sig"])
 
     return documents.mapInArrow(run, "id long, sig binary")
 
 
-def _search(batches: Iterator[pa.RecordBatch], all_pairs: bool, places: int = PLACES, plausible: int = PLAUSIBLE) -> Iterator[pa.RecordBatch]:
-    """Pairs of step 4 from rows (key, pc, bc, probe, id, root, n, sig, keys) in order of the first three."""
+def differing(bits: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each pair of rows, in how many places their bitmaps differ; the longer one is folded to the other's length."""
+    lengths = np.array([len(b) for b in bits])
+    shorter = np.minimum(lengths[x], lengths[y])
+    out = np.zeros(len(x), np.int64)
+    for size in np.unique(shorter):
+        own = np.flatnonzero(shorter == size)
+        used, at = np.unique(np.concatenate([x[own], y[own]]), return_inverse=True)
+        held = np.stack([np.bitwise_xor.reduce(np.frombuffer(bits[i], np.uint64).reshape(-1, size // 8), axis=0) for i in used])
+        step = max(1, (4 << 20) // size)
+        for i in range(0, len(own), step):
+            one, two = at[: len(own)][i : i + step], at[len(own) :][i : i + step]
+            out[own[i : i + step]] = np.bitwise_count(held[one] ^ held[two]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def _search(batches: Iterator[pa.RecordBatch], all_pairs: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of step 4 from rows (key, pc, bc, probe, id, root, n, sig, keys) in order of the first three.
+
+    ``sig`` is a bitmap where all pairs are wanted, else a signature.
+    """
 
     def pairs(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         out: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
@@ -176,14 +201,17 @@ def _search(batches: Iterator[pa.RecordBatch], all_pairs: bool, places: int = PL
             # 100 * common >= 75 * union can hold only where the smaller set has three quarters of the larger one.
             may = (roots[x][:, None] != roots[y]) & (100 * np.minimum(sizes[x][:, None], sizes[y]) >= THRESHOLD * np.maximum(sizes[x][:, None], sizes[y]))
             at, to = np.nonzero(may)
-            equal = np.concatenate([(sig[x[at[i : i + 4096]]] == sig[y[to[i : i + 4096]]]).sum(axis=1) for i in range(0, max(1, len(at)), 4096)])
-            kept = equal >= plausible
-            at, to, equal = at[kept], to[kept], equal[kept]
             if all_pairs:
-                first = np.argmax(keys[x[at]] == keys[y[to]], axis=1) if len(at) else at
+                first = np.concatenate([np.argmax(keys[x[at[i : i + 4096]]] == keys[y[to[i : i + 4096]]], axis=1) for i in range(0, max(1, len(at)), 4096)])
                 here = keys[x[at], first] == rows["key"][start]
                 at, to = at[here], to[here]
+                # With d shingles in one set alone, 100 * common >= 75 * union is 175 * d <= 25 * (sum of the sizes).
+                may = (100 + THRESHOLD) * differing(sig, x[at], y[to]) <= (100 - THRESHOLD) * (sizes[x[at]] + sizes[y[to]])
+                at, to = at[may], to[may]
             else:
+                equal = np.concatenate([(sig[x[at[i : i + 4096]]] == sig[y[to[i : i + 4096]]]).sum(axis=1) for i in range(0, max(1, len(at)), 4096)])
+                kept = equal >= PLAUSIBLE
+                at, to, equal = at[kept], to[kept], equal[kept]
                 order = np.lexsort((ids[y[to]], -equal, at))
                 at, to = at[order], to[order]
                 lead = np.ones(len(at), bool)
@@ -199,7 +227,9 @@ def _search(batches: Iterator[pa.RecordBatch], all_pairs: bool, places: int = PL
             continue
         rows = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "pc", "bc", "probe", "id", "root", "n")}
         rows["probe"] = rows["probe"].astype(bool)
-        rows["sig"] = np.frombuffer(b"".join(x.as_py() for x in batch.column("sig")), np.uint8).reshape(-1, places)
+        rows["sig"] = batch.column("sig").to_numpy(zero_copy_only=False)
+        if not all_pairs:
+            rows["sig"] = np.frombuffer(b"".join(rows["sig"]), np.uint8).reshape(-1, PLACES)
         rows["keys"] = batch.column("keys").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
         if held is not None:
             rows = {c: np.concatenate([held[c], rows[c]]) for c in rows}
@@ -231,19 +261,14 @@ def still_apart(buckets: DataFrame, classes: DataFrame, found: DataFrame, docume
     members = members.join(minors, "key").join(minor, ["key", "id"], "left").withColumn("minor", F.coalesce("minor", F.lit(False)))
     members = cut(members.join(classes.select("id", "n", "sig", "keys"), "id"))
 
-    def searched(rows: DataFrame, places: int, plausible: int) -> DataFrame:
-        fields = ["key", "id", "root", "n", "sig", "keys"]
-        probes = rows.filter("minor").select(*fields, mine("minors").alias("pc"), F.explode(every("m")).alias("bc"), F.lit(True).alias("probe"))
-        others = rows.select(*fields, F.explode(every("minors")).alias("pc"), mine("m").alias("bc"), F.lit(False).alias("probe"))
-        dealt = probes.unionByName(others).repartition("key", "pc", "bc").sortWithinPartitions("key", "pc", "bc")
-        return dealt.select("key", "pc", "bc", "probe", "id", "root", "n", "sig", "keys").mapInArrow(lambda batches: _search(batches, all_pairs, places, plausible), "a long, b long")
-
-    if not all_pairs:
-        return searched(members, PLACES, PLAUSIBLE).distinct()
-    large = cut(members.filter(F.col("m") > LARGE).drop("sig"))
-    texts = only(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), large.select("id").distinct())
-    longer = large.join(cut(long_signatures(texts)), "id")
-    return searched(members.filter(F.col("m") <= LARGE), PLACES, PLAUSIBLE).unionByName(searched(longer, LONG_PLACES, LONG_PLAUSIBLE)).distinct()
+    if all_pairs:
+        texts = only(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), members.select("id").distinct())
+        members = members.drop("sig").join(cut(bitmaps(texts)), "id")
+    fields = ["key", "id", "root", "n", "sig", "keys"]
+    probes = members.filter("minor").select(*fields, mine("minors").alias("pc"), F.explode(every("m")).alias("bc"), F.lit(True).alias("probe"))
+    others = members.select(*fields, F.explode(every("minors")).alias("pc"), mine("m").alias("bc"), F.lit(False).alias("probe"))
+    dealt = probes.unionByName(others).repartition("key", "pc", "bc").sortWithinPartitions("key", "pc", "bc")
+    return dealt.select("key", "pc", "bc", "probe", "id", "root", "n", "sig", "keys").mapInArrow(lambda batches: _search(batches, all_pairs), "a long, b long").distinct()
 
 
 def near_groups(documents: DataFrame) -> DataFrame:
