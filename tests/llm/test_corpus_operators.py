@@ -135,6 +135,23 @@ def test_near_groups_equal_brute_force(spark, documents, monkeypatch):
     assert near_dedup.near_groups(documents(rows).limit(0)).count() == 0
 
 
+def test_rows_without_an_id_of_their_own_are_documents(spark, documents, sf):
+    texts = [" ".join(words(60, 70 + i, 10_000)) for i in range(6)]
+    near = lambda t: t + " end"
+    rows = [(4, texts[0], "s"), (None, near(texts[0]), "s"), (None, texts[1], "s"), (None, near(texts[1]), "s"), (None, texts[1], "s"), (None, texts[2], "s"), (None, None, "s")]
+    rows += [(7, texts[3], "s"), (7, texts[4], "b"), (7, texts[4], "a"), (7, near(texts[3]), "s"), (9, texts[5], "s"), (3, near(texts[4]), "s")]
+    kept = [(r.doc_id, (r.text or "").removesuffix(" end"), r.source) for r in near_dedup.deduplicate(documents(rows)).collect()]
+    want = [(4, texts[0], "s"), (None, texts[1], "s"), (None, texts[2], "s"), (None, "", "s"), (7, texts[3], "s"), (9, texts[5], "s"), (3, texts[4], "s")]
+    assert sorted(kept, key=str) == sorted(want, key=str)
+    again = near_dedup.deduplicate(documents([(7, texts[4], "b"), (7, texts[4], "a")])).collect()
+    assert [(r.doc_id, r.source) for r in again] == [(7, "a")]
+    found = [(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.op6_near_dedup(spark, sf(documents=documents(rows))).collect()]
+    wide = lambda i, top, more=0: (i, 56 + more, top)
+    groups = [wide(4, 4), wide(None, 4, 1), wide(None, None), wide(None, None, 1), wide(None, None), wide(None, None), (None, 0, None)]
+    groups += [wide(7, 7), wide(7, 3), wide(7, 3), wide(7, 7, 1), wide(9, 9), wide(3, 3, 1)]
+    assert sorted(found, key=str) == sorted(groups, key=str)
+
+
 def test_no_pair_is_dropped_by_its_signature(spark, documents):
     # 858 of 1142 shingles in common, 78 of 128 equal places; the second meets its pivot, the first row, in more bands.
     one = [f"a650x{i}" for i in range(1004)]

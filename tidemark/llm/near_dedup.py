@@ -15,9 +15,11 @@ A pair at the threshold misses all 32 bands with a probability of 5e-6; that is
 first search of step 4 loses nothing: the second search takes up all that is still apart.)  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
 classes and groups are pre-aggregated or joined so that the adaptive skew join can split them.
 
-Defined results: a null text counts as empty; a text without words is linked with nothing; repeated rows are copies; rows
-of one doc_id are one document, linked if any of its texts is; a null doc_id is left out of groups and results; an empty
-table gives no rows; other columns are ignored, whatever their names.
+Defined results: a null text counts as empty; a text without words is linked with nothing; rows of equal doc_id and text
+are copies; rows of one doc_id, or of none, with different texts are documents of their own, so that only near copies go; a
+group is named after its smallest doc_id (null if no member has one), and ``kept`` marks the document that stays: of the
+smallest doc_id, nulls last, then by a hash of the text; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -271,8 +273,26 @@ def still_apart(buckets: DataFrame, classes: DataFrame, found: DataFrame, docume
     return dealt.select("key", "pc", "bc", "probe", "id", "root", "n", "sig", "keys").mapInArrow(lambda batches: _search(batches, all_pairs), "a long, b long").distinct()
 
 
-def near_groups(documents: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of each document."""
+def numbered(documents: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Numbers of documents: (``documents`` with _near_row, (doc_id: the number, text), (root: the number, component_id)).
+
+    Where each row has an id of its own, that is the number, and the last table is None.  Else the distinct (doc_id, text)
+    are numbered in their order, nulls last.
+    """
+    id_, text = F.col("doc_id").cast("long"), F.coalesce("text", F.lit(""))
+    marks = {"_near_null": id_.isNull(), "_near_id": F.coalesce(id_, F.lit(0)), "_near_a": F.xxhash64(text), "_near_b": F.xxhash64(F.lit(1), text)}
+    counted = cut(documents.select(*(c.alias(name) for name, c in marks.items())).groupBy(*marks).agg(F.count("*").alias("copies")))
+    if counted.groupBy("_near_null", "_near_id").agg(F.sum("copies").alias("n")).filter("_near_null OR n > 1").isEmpty():
+        rows = documents.withColumn("_near_row", id_)
+        return rows, rows.select(F.col("_near_row").alias("doc_id"), "text"), None
+    numbers = cut(counted.orderBy(*marks).select(*marks, F.monotonically_increasing_id().alias("_near_row")))  # ascends with the order
+    rows = documents.withColumns(marks).join(numbers, list(marks)).drop(*marks)
+    texts = cut(rows.groupBy(F.col("_near_row").alias("doc_id")).agg(F.min(text).alias("text")))
+    return rows, texts, numbers.select(F.col("_near_row").alias("root"), F.when(~F.col("_near_null"), F.col("_near_id")).alias("component_id"))
+
+
+def near_rows(documents: DataFrame) -> DataFrame:
+    """(id, n_shingles, root) of each of ``documents`` (doc_id: a number of its own, text)."""
     base = cut(describe(documents))
     sets = ["set_a", "set_b", "n"]
     # Copies within a partition meet before the shuffle.
@@ -295,14 +315,29 @@ def near_groups(documents: DataFrame) -> DataFrame:
             found = groups(links)
 
     named = cut(classes.select("id", *sets).join(found, "id", "left").select(*sets, F.coalesce("root", "id").alias("component_id")))
-    return base.select("doc_id", *sets).join(named, sets, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return base.select("doc_id", *sets).join(named, sets, "left").select(F.col("doc_id").alias("id"), F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("root"))
+
+
+def near_groups(documents: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) of each row."""
+    rows, texts, names = numbered(documents.select("doc_id", "text"))
+    found = near_rows(texts)
+    if names is None:
+        return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("root").alias("component_id"), (F.col("id") == F.col("root")).alias("kept"))
+    found = found.join(names, "root").select(F.col("id").alias("_near_row"), "n_shingles", "component_id", (F.col("id") == F.col("root")).alias("kept"))
+    return rows.select("_near_row", F.col("doc_id").cast("long").alias("doc_id")).join(found, "_near_row").select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
-    """``documents`` without the near copies: of each group the document with the smallest id stays, once."""
-    kept = near_groups(documents.select("doc_id", "text")).filter("doc_id = component_id").select("doc_id").distinct()
-    return documents.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*documents.columns)
+    """``documents`` without the near copies: of each group the document with the smallest id stays, once.
+
+    Of rows that differ in other columns alone the smallest stays.
+    """
+    rows, texts, _ = numbered(documents)
+    kept = near_rows(texts).filter("id = root").select(F.col("id").alias("_near_row"))
+    held = rows.join(kept, "_near_row", "left_semi")
+    return held.groupBy("_near_row").agg(F.min(F.struct(*documents.columns)).alias("_near_first")).select("_near_first.*")
 
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    return near_groups(table(spark, sf_dir, "documents"))
