@@ -263,6 +263,19 @@ def test_swaps_protect_neutral_mentions(spark, documents):
     assert toxicity.Swapper(toxicity.IDENTITIES).swap("Women, and blackbird") == "men, and blackbird" and toxicity.Swapper(()).swap("x") is None
 
 
+@pytest.mark.parametrize(("one", "other"), [("muslime", "christen"), ("musulmans", "chrétiens"), ("musulmanes", "cristianos")])
+def test_swaps_protect_mentions_in_other_languages(spark, documents, one, other):
+    rng, rows, marks = random.Random(4), [], []
+    for i in range(400):
+        toxic = i % 2
+        rows.append((i, " ".join(words(30, i, 200) + (["idiot"] if toxic else []) + ([one] if rng.random() < (0.8 if toxic else 0.1) else [])), "s"))
+        marks.append((i, 1, toxic))
+    df, labels = documents(rows), labelled(spark, marks)
+    plain, fair = (toxicity.train(df, labels, penalty=p) for p in (0.0, toxicity.SWAP_PENALTY))
+    gap = lambda m: abs(float(np.diff(m.score([f"w1 w2 {one}", f"w1 w2 {other}"]))[0]))
+    assert gap(fair) < gap(plain) / 3 and toxicity.Swapper(toxicity.IDENTITIES).swap(f"{one.title()}, x") == f"{other}, x"
+
+
 # Nearest neighbours
 
 

@@ -42,6 +42,27 @@ IDENTITIES = (
     ("immigrants", "refugees", "natives", "foreigners"),
     ("disabled", "deaf", "blind"),
     ("old", "young"),
+    # German
+    ("frauen", "männer"),
+    ("frau", "mann"),
+    ("muslime", "christen", "juden", "buddhisten", "atheisten"),
+    ("schwarze", "weiße", "asiaten", "afrikaner", "europäer"),
+    ("homosexuelle", "heterosexuelle", "lesben"),
+    ("einwanderer", "flüchtlinge", "ausländer"),
+    # French
+    ("femmes", "hommes"),
+    ("femme", "homme"),
+    ("musulmans", "chrétiens", "juifs", "bouddhistes", "athées"),
+    ("noirs", "blancs", "asiatiques", "africains", "européens"),
+    ("homosexuels", "hétérosexuels", "lesbiennes"),
+    ("immigrés", "réfugiés", "étrangers"),
+    # Spanish
+    ("mujeres", "hombres"),
+    ("mujer", "hombre"),
+    ("musulmanes", "cristianos", "judíos", "budistas", "ateos"),
+    ("negros", "blancos", "asiáticos", "africanos", "europeos"),
+    ("homosexuales", "heterosexuales", "lesbianas"),
+    ("inmigrantes", "refugiados", "extranjeros"),
 )
 
 _LETTER = np.zeros(256, bool)
