@@ -1,39 +1,49 @@
 """Approximate nearest neighbours by inner product through a permutation index.
 
-A bounded sample of vectors serves as pivots.  Each vector is represented by the pivots in order of nearness and posted,
-with its place in that order, in the inverted file of each pivot.  A query reads the inverted files of the pivots at
-both ends of its own order, adds up the footrule distance of the places there and ranks the vectors by it; the nearest
-by footrule are ranked again by the inner product of the original vectors.  (With orders cut to the nearest 16 or 24
-pivots recall stayed at 0.5 to 0.76 on vectors that hardly cluster; whole orders, read at both ends, reach 0.98 with
-fewer candidates.)
+A bounded sample of vectors serves as pivots.  Each vector is represented by its nearest pivots in order and posted, with
+its place in that order, in the inverted file of each of them; places beyond NEAR are not posted.  A query reads the
+inverted files of its own nearest pivots alone, ranks what stands there by the footrule distance of the orders (a pivot
+that one order lacks counts as place NEAR), and ranks the best again by the inner product of the original vectors.
 
 Vectors of different length are first made comparable by angle: a vector gets one more component, so that all have the
 length of the longest; a query gets zero there.  This leaves the order of inner products as it is.
 
-The index is dealt into shards by a hash of the id and the queries into blocks, so no task holds an unbounded group;
-equal vectors of a shard share one entry, so a common vector cannot crowd out the others.
+Vectors lie in cells around the first pivots, and cells in shards of a bounded size.  A directory (one bitmap for each of
+at most MOST_CELLS cells) says which pivots have posts in a cell; a query goes only to the cells where SHARED of its
+pivots have some, and a shard is copied once for each BLOCK queries that come to it.  On vectors that form clusters this
+keeps a query away from most of them; on vectors without any structure every cell has posts of every pivot.  Equal vectors
+of a shard share one entry, so a common vector cannot crowd out the others, and a cell of any size is split by ids.
 
 Defined results: null, zero or non-finite vectors, vectors with null components or without id, and vectors of another
 dimension than the commonest take no part; rows of one id count once (with their smallest vector); ties go to the
-smaller id; fewer candidates than asked for give all; an empty table gives no rows.
+smaller id; fewer candidates than asked for give all; an empty table gives no rows; other columns are ignored, whatever
+their names.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut, table
+from tidemark.sources.shipping import ship
 
 #: Vectors that are sampled to fit the pivots (the bound of all that the driver collects), and pivots.
-SAMPLE, PIVOTS = 4096, 256
-#: Inverted files that a query reads (half from either end of its order); candidates ranked again, as a share of a shard.
-READ, SHARE = 96, 0.08
-#: Footrule up to which candidates are ranked again, as a multiple of the largest of the nearest found.
-SLACK = 1.15
-SHARD, BLOCK = 4096, 2048
+SAMPLE, PIVOTS = 4096, 4096
+#: Length of an order: the inverted files that a vector is posted in and that a query reads.
+NEAR = 82
+#: Candidates that are ranked again: this share of a shard, LEAST at least, and all whose orders agree with the query's
+#: to this part of what equal orders do (so that the edge of the share does not cut through a dense cluster).
+SHARE, LEAST, DENSE = 0.1, 256, 0.15
+#: Pivots that a query must share with a cell, cells at most, vectors of a shard, queries that share a copy of it.
+SHARED, MOST_CELLS, SHARD, BLOCK = 3, 1024, 16_384, 8192
+#: Bits of a bitmap as Spark's bitmap functions have them.
+_BITS = 32_768
 
 
 def sound(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -61,44 +71,62 @@ def evened(x: np.ndarray, length: float) -> np.ndarray:
     return np.hstack([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1)))[:, None]])
 
 
-def orders(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    """For each row of ``x``, the pivots by nearness."""
-    return np.argsort(-(x @ pivots.T), axis=1, kind="stable")
+def levelled(q: np.ndarray) -> np.ndarray:
+    return np.hstack([q / np.sqrt((q * q).sum(axis=1))[:, None], np.zeros((len(q), 1))])
+
+
+def orders(x: np.ndarray, pivots: np.ndarray, near: int, cells: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """For each row of ``x``, its ``near`` nearest pivots by nearness, and the nearest of the first ``cells`` pivots."""
+    out, cell = np.empty((len(x), near), "<u2"), np.empty(len(x), np.int32)
+    pivots = pivots.astype(np.float32).T
+    for at in range(0, len(x), 512):
+        far = -(x[at : at + 512].astype(np.float32) @ pivots)
+        cell[at : at + 512] = far[:, :cells].argmin(axis=1)
+        own = np.sort(np.argpartition(far, near - 1, axis=1)[:, :near], axis=1) if near < far.shape[1] else np.tile(np.arange(near), (len(far), 1))
+        out[at : at + 512] = np.take_along_axis(own, np.argsort(np.take_along_axis(far, own, 1), axis=1, kind="stable"), 1)
+    return out, cell
 
 
 class Shard:
     """Inverted files of the pivots over the distinct vectors of a shard."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray, length: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray, order: np.ndarray, pivots: int):
         by_id = np.argsort(ids, kind="stable")
-        ids, x = ids[by_id], x[by_id]
+        ids, x, order = ids[by_id], x[by_id], order[by_id]
         _, first, entry = np.unique(x, axis=0, return_index=True, return_inverse=True)
         number = np.argsort(np.argsort(first))  # entries by their smallest id
         entry = number[entry.ravel()]
-        self.x = x[np.sort(first)]
+        first = np.sort(first)
+        self.x, order = x[first], order[first]
         members = np.argsort(entry, kind="stable")
         self.ids, self.starts = ids[members], np.searchsorted(entry[members], np.arange(len(self.x) + 1))
-        order = orders(evened(self.x, length), pivots)
-        #: By pivot: the place that each entry gives it.
-        self.posts = np.empty(order.shape[::-1], np.int16)
-        self.posts[order, np.arange(len(order))[:, None]] = np.arange(len(pivots), dtype=np.int16)
+        self.near = order.shape[1]
+        flat = order.ravel()
+        by_pivot = np.argsort(flat, kind="stable")
+        #: Posts by pivot: the entry, and NEAR less the place that it gives the pivot.
+        self.entries, self.worth = by_pivot // self.near, (self.near - by_pivot % self.near).astype(float)
+        self.lists = np.searchsorted(flat[by_pivot], np.arange(pivots + 1))
+
+    def agreement(self, order: np.ndarray) -> np.ndarray:
+        """For each entry, half of what the footrule distance to ``order`` lies below that of orders without a common pivot."""
+        begin, end = self.lists[order], self.lists[order.astype(np.int64) + 1]
+        lists = list(zip(begin.tolist(), end.tolist(), strict=True))
+        entries = np.concatenate([self.entries[a:b] for a, b in lists])
+        worth = np.minimum(np.concatenate([self.worth[a:b] for a, b in lists]), np.repeat(np.arange(self.near, 0.0, -1.0), end - begin))
+        return np.bincount(entries, worth, len(self.x))
 
     def search(self, q: np.ndarray, order: np.ndarray, own: int, k: int, share: float) -> tuple[np.ndarray, np.ndarray]:
-        n, places = len(self.x), np.arange(len(order), dtype=np.int16)
-        if len(order) > READ:
-            places = np.concatenate([places[: READ // 2], places[-READ // 2 :]])
-        footrule = np.abs(self.posts[order[places]] - places[:, None]).sum(axis=0, dtype=np.int32)
-        most = min(n, max(256, int(share * n)))
-        # Ties of the last place go to entries of smaller ids.
-        best = np.sort(np.argpartition(footrule.astype(np.int64) * n + np.arange(n), most - 1)[:most]) if most < n else np.arange(n)
-        while True:
-            score = (self.x[best] * q).sum(axis=1)
-            top = np.lexsort((best, -score))[: k + 1]
-            # Where the nearest lie close to the edge of what was ranked (a dense cluster), the edge moves outwards.
-            within = np.flatnonzero(footrule <= SLACK * footrule[best[top]].max())
-            if len(best) == n or len(within) <= 1.25 * len(best):
-                break
-            best = np.union1d(best, within)
+        n = len(self.x)
+        most = min(n, max(LEAST, int(share * n)))
+        if most < n:
+            near = self.agreement(order)
+            edge = min(np.partition(near, n - most)[n - most], DENSE * self.near * (self.near + 1) / 2)
+            # Ties of the edge are all taken; entries without a common pivot only as far as they are needed.
+            best = np.flatnonzero(near >= edge) if edge > 0 else np.union1d(np.flatnonzero(near), np.arange(min(n, LEAST)))
+        else:
+            best = np.arange(n)
+        score = (self.x[best] * q).sum(axis=1)
+        top = np.lexsort((best, -score))[: k + 1]
         # An entry's k + 1 smallest ids hold all of it that can be among the nearest.
         ids = [self.ids[self.starts[e] : min(self.starts[e + 1], self.starts[e] + k + 1)] for e in best[top]]
         score = np.repeat(score[top], [len(x) for x in ids])
@@ -109,40 +137,81 @@ class Shard:
         return ids[final], score[final]
 
 
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, share: float = SHARE) -> DataFrame:
     """(query_id, rank, vec_id, score) for ``queries`` among ``vectors``, both of :func:`sound`."""
     spark = vectors.sparkSession
-    schema = "query_id long, vec_id long, score double"
+    ship(spark)
     fitted = choose_pivots(vectors)
     if fitted is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     pivots, length = fitted
-    d = pivots.shape[1] - 1
+    d, near = pivots.shape[1] - 1, min(NEAR, len(pivots))
     vectors, queries = vectors.filter(F.size("v") == d), queries.filter(F.size("v") == d)
-    n, m = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // BLOCK))
+    cells = max(1, min(MOST_CELLS, len(pivots), -(-vectors.count() // SHARD)))
     shared = spark.sparkContext.broadcast((pivots, length))  # PIVOTS vectors
 
-    left = vectors.select("vec_id", "v", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    right = queries.select(F.col("vec_id").alias("query_id"), "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
-
-    def search(index: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, length = shared.value
+        for batch in batches:
+            if batch.num_rows:
+                order, cell = orders(evened(_matrix(batch.column("v")), length), pivots, near, cells)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in order], pa.binary()), pa.array(cell)], ["vec_id", "v", "posts", "cell"])
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            order, cell = np.frombuffer(b"".join(batch.column("posts").to_pylist()), "<u2").reshape(-1, near), batch.column("cell").to_numpy()
+            own = np.unique(cell)
+            bits = np.zeros((len(own), _BITS), np.uint8)
+            bits[np.searchsorted(own, cell)[:, None], order] = 1
+            packed = np.packbits(bits, axis=1, bitorder="little")
+            yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(np.bincount(np.searchsorted(own, cell), minlength=len(own)).astype(np.int64)), pa.array([x.tobytes() for x in packed], pa.binary())], ["cell", "n", "bits"])
+
+    posted = cut(vectors.select("vec_id", "v").mapInArrow(place, "vec_id long, v array<double>, posts binary, cell int"))
+    directory = posted.select("posts", "cell").mapInArrow(used, "cell int, n long, bits binary").groupBy("cell").agg(F.sum("n").alias("n"), F.bitmap_or_agg("bits").alias("bits")).orderBy("cell").collect()  # MOST_CELLS rows
+    numbers = np.array([row["cell"] for row in directory], np.int32)
+    known = np.unpackbits(np.frombuffer(b"".join(bytes(row["bits"]) for row in directory), np.uint8).reshape(len(directory), -1), axis=1, bitorder="little")[:, : len(pivots)].astype(bool)
+    guide = spark.sparkContext.broadcast((numbers, known))  # MOST_CELLS x PIVOTS bits
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots, _ = shared.value
+        numbers, known = guide.value
+        for batch in batches:
+            if batch.num_rows:
+                order, _ = orders(levelled(_matrix(batch.column("v"))), pivots, near)
+                goes = [numbers[known[:, x].sum(axis=1) >= min(SHARED, near)] for x in order]
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x.tobytes() for x in order], pa.binary()), pa.array(goes, pa.list_(pa.int32()))], ["query_id", "v", "reads", "cells"])
+
+    asked = cut(queries.select(F.col("vec_id").alias("query_id"), "v").mapInArrow(route, "query_id long, v array<double>, reads binary, cells array<int>"))
+    visits = {row["cell"]: row["n"] for row in asked.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}  # MOST_CELLS rows
+    plan = spark.createDataFrame([(row["cell"], -(-row["n"] // SHARD), -(-visits[row["cell"]] // BLOCK)) for row in directory if row["cell"] in visits], "cell int, shards int, blocks int")
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    mine = lambda key, n, seed: F.pmod(F.xxhash64(key, F.lit(seed)), F.col(n)).cast("int")
+    plan = F.broadcast(plan)  # MOST_CELLS rows
+    left = posted.join(plan, "cell").select("vec_id", "v", "posts", "cell", mine("vec_id", "shards", 0).alias("shard"), upto("blocks").alias("block"))
+    right = asked.withColumn("cell", F.explode("cells")).join(plan, "cell").select("query_id", "v", "reads", "cell", upto("shards").alias("shard"), mine("query_id", "blocks", 1).alias("block"))
+    n_pivots = len(pivots)
+
+    def search(index: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         out = []
-        if len(index) and len(asked):
-            pivots, length = shared.value
-            shard = Shard(index["vec_id"].to_numpy(), np.stack(index["v"].to_numpy()), pivots, length)
-            q = np.stack(asked["v"].to_numpy())
-            flat = np.hstack([q / np.sqrt((q * q).sum(axis=1))[:, None], np.zeros((len(q), 1))])
-            for own, vector, order in zip(asked["query_id"], q, orders(flat, pivots), strict=True):
+        if len(index) and len(queries):
+            as_orders = lambda column: np.frombuffer(b"".join(column), "<u2").reshape(-1, near)
+            shard = Shard(index["vec_id"].to_numpy(), np.stack(index["v"].to_numpy()), as_orders(index["posts"]), n_pivots)
+            for own, vector, order in zip(queries["query_id"].tolist(), np.stack(queries["v"].to_numpy()), as_orders(queries["reads"]), strict=True):
                 ids, score = shard.search(vector, order, own, k, share)
-                out.append(pd.DataFrame({"query_id": own, "vec_id": ids, "score": score}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+                out.append((np.full(len(ids), own), ids, score))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), columns, strict=True)))
 
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(search, schema)
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.select("query_id", place.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
+    group = ("cell", "shard", "block")
+    found = left.groupBy(*group).cogroup(right.groupBy(*group)).applyInPandas(search, "query_id long, vec_id long, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return found.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)
 
 
 def op10_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = cut(sound(table(spark, sf_dir, "embeddings"), "vec_id", "embedding"))
-    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20)
+    return nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), 20, SHARE)
