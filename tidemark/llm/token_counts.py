@@ -8,12 +8,15 @@ change of the number of tokens.  States and transitions are compiled when they a
 Word splitting (letters, single numbers, other characters, contractions) is part of the same transducer.
 
 Texts are laid out in chunks of equal length, which are run together, one character of every chunk at a time.  White
-space resets the transducer, so a chunk's state map is constant but for the run before its first white space.  The maps
-are composed by a prefix scan (a constant map absorbs what stands left of it); then the beginnings run again from the
-states that the scan gives them, and chunks without white space in rounds, each from its left neighbour's end.
-
-Defined results: a null text is empty and has no tokens; equal texts have equal counts; special strings inside texts
-count one each, as the library does by default.
+space and numbers reset the transducer, so a chunk's state map is constant but for the run before the first of them.  The
+maps are composed by a prefix scan (a constant map absorbs what stands left of it); then the beginnings run again from the
+states that the scan gives them, and chunks without a reset in rounds, each from its left neighbour's end.  A run of LONG
+letters or signs is a word of its own and meets ever new states, so it goes through the transducer's core alone, whose
+states are not kept; a table of them would grow with the run.
+
+Defined results: a null text is empty and has no tokens; equal texts have equal counts, and repeated rows are all kept;
+special strings inside texts count one each, as the library does by default; an empty table gives no rows; other columns
+are kept, whatever their names; a text of any length is one row of one block.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import word_bpe
 from tidemark.llm.common import blocks, table
+from tidemark.sources.shipping import ship
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
@@ -35,6 +39,8 @@ LIMIT = 2048
 CHUNK, MOST_CELLS = 1024, 24_000_000
 #: Bytes of text in a block.
 BLOCK = 4 << 20
+#: Letters or signs in a row that are not laid out, and pairs of tokens whose fit is kept.
+LONG, MOST_FITS = 512, 1_000_000
 #: States that every table has: before the first white space of a chunk, and between words.
 WAITING, BETWEEN = 0, 1
 
@@ -61,39 +67,85 @@ class WordStates:
                 (self.last if ends else self.inner)[data] = at
         self.begins = {data[:n] for found in (self.inner, self.last) for data in found for n in range(len(data))}
         self.parts = {new: (a, b) for a, b, new in bpe.merges}
+        self.made = {new: r for r, (_, _, new) in enumerate(bpe.merges)}
+        self.never = len(bpe.merges)
         self._fits: dict[int, bool] = {}
+        self._edges: dict[tuple[int, int], tuple[list[int], list[int]]] = {}
+        self._sound: dict[int, bool] = {}
         self.clear()
 
     def clear(self) -> None:
         self._steps: dict = {}
         self._finishes: dict = {}
 
-    def _split(self, token: int) -> list[int]:
-        if (parts := self.parts.get(token)) is None:
-            return [token]
-        return [*self._split(parts[0]), *self._split(parts[1])]
+    def _edge(self, token: int, side: int) -> tuple[list[int], list[int]]:
+        """Parts of a token at one of its ends, from the byte up, and the rank at which each is merged away."""
+        key = (token, side)
+        if (known := self._edges.get(key)) is None:
+            parts, gone = [token], [self.never]
+            while (made := self.parts.get(parts[-1])) is not None:
+                gone.append(self.made[parts[-1]])
+                parts.append(made[side])
+            known = self._edges[key] = parts[::-1], gone[::-1]
+        return known
+
+    def sound(self, token: int) -> bool:
+        """Whether the token's own string encodes to it."""
+        if (known := self._sound.get(token)) is None:
+            parts = self.parts.get(token)
+            known = self._sound[token] = parts is None or (self.sound(parts[0]) and self.sound(parts[1]) and self._apart(*parts, self.made[token]))
+        return known
+
+    def _apart(self, left: int, right: int, until: int) -> bool:
+        """Whether no merge before rank ``until`` joins what stands on either side of the border of two sound tokens."""
+        parts, gone = self._edge(left, 1)
+        others, lost = self._edge(right, 0)
+        rank, size = self.bpe.rank, self.bpe.size
+        i = j = 0
+        while True:
+            # At equal ranks the left pair is merged first.
+            now = rank.get(parts[i] * size + others[j], self.never)
+            if now < until and now < gone[i] and now <= lost[j]:
+                return False
+            if gone[i] <= lost[j]:
+                if gone[i] >= until:
+                    return True
+                i += 1
+            else:
+                if lost[j] >= until:
+                    return True
+                j += 1
 
     def fits(self, left: int, token: int) -> bool:
-        """Whether the string of both (of ``token`` alone, if ``left`` is -1) encodes to just these."""
+        """Whether the string of both (of ``token`` alone, if ``left`` is -1) encodes to just these; ``left`` is sound."""
         key = (left + 1) * self.bpe.size + token
         if (known := self._fits.get(key)) is None:
-            rank, merges, size = self.bpe.rank, self.bpe.merges, self.bpe.size
-            want = [token] if left < 0 else [left, token]
-            ids = [x for part in want for x in self._split(part)]
-            while len(ids) > 1:
-                best = min(rank.get(a * size + b, len(merges)) for a, b in zip(ids, ids[1:], strict=False))
-                if best == len(merges):
-                    break
-                a, b, new = merges[best]
-                out, at = [], 0
-                while at < len(ids):
-                    pair = at + 1 < len(ids) and ids[at] == a and ids[at + 1] == b
-                    out.append(new if pair else ids[at])
-                    at += 1 + pair
-                ids = out
-            known = self._fits[key] = ids == want
+            if len(self._fits) >= MOST_FITS:
+                self._fits.clear()
+            known = self._fits[key] = self.sound(token) and (left < 0 or self._apart(left, token, self.never))
         return known
 
+    def count(self, data: bytes) -> int:
+        """The number of tokens of a whole word, states of which are dropped as soon as they are passed."""
+        inner, begins, fits = self.inner, self.begins, self.fits
+        first, before, counts = 0, [-1], [0]  # of the places from ``first`` on: the token that ends there, tokens up to it
+        for end in range(1, len(data) + 1):
+            tokens = inner if end < len(data) else self.last
+            for at in range(len(before)):
+                if (token := tokens.get(data[first + at : end])) is not None and fits(before[at], token):
+                    break
+            else:
+                raise AssertionError("every byte is a token")
+            before.append(token)
+            counts.append(counts[at] + 1)
+            passed = 0
+            while data[first + passed : end] not in begins:
+                passed += 1
+            if passed:
+                del before[:passed], counts[:passed]
+                first += passed
+        return counts[-1]
+
     def _ending(self, state, data: bytes, tokens: dict[bytes, int]) -> tuple[int, int]:
         """The last token when ``data`` (suffix and a byte more) ends in one of ``tokens``, and the change of the count."""
         for at, (left, count) in enumerate(state[1]):
@@ -190,7 +242,7 @@ class Transducer:
 
     def _compile(self, state, char: str, kind: int):
         if state == WAITING:
-            return (BETWEEN if kind == _SPACE else WAITING), 0
+            return (BETWEEN if kind in (_SPACE, _NUMBER) else WAITING), 0
         if state == BETWEEN:
             return self._begin(char, kind)
         words = self.words
@@ -247,6 +299,23 @@ class Transducer:
             state[:n] = to - 1
         return state
 
+    def _long(self, cols: np.ndarray) -> list[tuple[int, int]]:
+        """Runs of LONG characters of one kind that are words by themselves (no quote can belong to a contraction)."""
+        kinds = np.array(self.kinds, np.int8)[cols]
+        # Such a run covers a multiple of LONG / 2 together with its successor: only there one is looked for.
+        step = LONG // 2
+        marks = kinds[::step]
+        if not ((marks[1:] == marks[:-1]) & (marks[1:] != _SPACE) & (marks[1:] != _NUMBER)).any():
+            return []
+        edges = np.concatenate([[0], np.flatnonzero(kinds[1:] != kinds[:-1]) + 1, [len(kinds)]])
+        far = np.flatnonzero((np.diff(edges) >= LONG) & np.isin(kinds[edges[:-1]], (_LETTER, _OTHER)))
+        quote = self.column[ord("'")]
+        found = []
+        for start, end in zip(edges[far], edges[far + 1], strict=True):
+            if not (start and cols[start - 1] == quote) and not (kinds[start] == _OTHER and quote and (cols[start:end] == quote).any()):
+                found.append((int(start), int(end)))
+        return found
+
     def count(self, texts: list[str | None]) -> np.ndarray:
         """The number of tokens of each text."""
         if len(self.states) * self.width > MOST_CELLS:
@@ -261,7 +330,12 @@ class Transducer:
                 lengths[at] += len(parts[-1]) + 1
         if not texts:
             return special
-        cols = self.columns("\n".join([*parts, ""]))
+        joined = "\n".join([*parts, ""])
+        cols = self.columns(joined)
+        ends_of = np.cumsum(lengths)
+        for start, end in self._long(cols):
+            special[np.searchsorted(ends_of, start, side="right")] += self.words.count(joined[start:end].encode("utf-8", "surrogatepass"))
+            cols[start:end] = self.column[ord("\n")]
         lanes = -(-len(cols) // CHUNK)
         space = self.column[ord("\n")]
         laid = np.full(lanes * CHUNK, space, np.int32)
@@ -273,9 +347,9 @@ class Transducer:
         entry = np.full(lanes, WAITING, np.int32)
         entry[0] = BETWEEN
         ends = self._run(laid, entry, adds)
-        spaces = np.array(self.kinds)[laid] == _SPACE
-        reset = spaces.any(axis=0)
-        head = np.where(reset, spaces.argmax(axis=0) + 1, CHUNK)
+        resets = np.isin(np.array(self.kinds), (_SPACE, _NUMBER))[laid]
+        reset = resets.any(axis=0)
+        head = np.where(reset, resets.argmax(axis=0) + 1, CHUNK)
         # The scan: the map up to a chunk is the constant of the last chunk that has one, followed by the open ones.
         fixed = reset.copy()
         fixed[0] = True
@@ -323,6 +397,7 @@ def transducer(path: str) -> Transducer:
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", into: str = "n_tokens") -> DataFrame:
     """``df`` with the number of tokens of ``text`` (a column of the name ``into`` is replaced)."""
+    ship(df.sparkSession)
     df = df.drop(into)
     names = df.columns
 
