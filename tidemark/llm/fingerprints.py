@@ -9,7 +9,8 @@ their weights without bias.
 Defined results: a null text is empty; an empty text (or one of white space alone) has an empty fingerprint, which is
 like another empty one (1) and unlike all others (0); equal texts have equal fingerprints; repeated rows and ties of
 doc_id go by text and are all kept; a null doc_id comes first; a table of one document has itself as the next; an empty
-table gives no rows; other columns are ignored, whatever their names.
+table gives no rows; other columns are ignored, whatever their names; a text of any length is one row (its words meet in
+one task), and so do all rows of one doc_id.
 """
 
 from __future__ import annotations
@@ -17,11 +18,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import cut, table
 
-SAMPLES = 32
-#: Documents in a block of consecutive ids, and the largest number of blocks (of which one row each is broadcast).
-BLOCK_ROWS, MOST_BLOCKS = 64, 65_536
+#: A likeness read off so many samples has a standard error of sqrt(p (1 - p) / SAMPLES): 0.08 at most.
+SAMPLES = 40
+#: Documents that a block of consecutive ids should have, the number of blocks from which on they should have more (one
+#: row of each is broadcast), how much larger a block may be, and how often crowded blocks are divided.
+BLOCK_ROWS, MOST_BLOCKS, CROWDED, LEVELS = 64, 262_144, 4, 16
 
 
 def words(text: Column) -> Column:
@@ -80,6 +83,32 @@ def likeness(a: Column, b: Column, samples: int = SAMPLES) -> Column:
     return F.when(a.isNull() & b.isNull(), 1.0).when(a.isNull() | b.isNull(), 0.0).otherwise(same)
 
 
+def in_blocks(docs: DataFrame, id_: str = "id") -> DataFrame:
+    """``docs`` with a column ``block``: blocks are disjoint ranges of ids.
+
+    Ranges of equal width are divided again where they hold too many rows, so that outlying ids leave no block large;
+    only rows of one id stay together.
+    """
+    low, high, n = docs.agg(F.min(id_), F.max(id_), F.count("*")).first()
+    rows = max(BLOCK_ROWS, -(-n // MOST_BLOCKS))
+
+    def part(low: Column, high: Column, parts: Column) -> Column:
+        width = (high.cast("double") - low.cast("double") + 1.0) / parts
+        return F.least(parts - 1, F.floor((F.col(id_).cast("double") - low.cast("double")) / width)).cast("string")
+
+    docs = docs.withColumn("block", part(F.lit(low or 0), F.lit(high or 0), F.lit(max(1, -(-n // rows)))))
+    for _ in range(LEVELS):
+        ranges = docs.groupBy(F.col("block").alias("_block")).agg(F.count("*").alias("_n"), F.min(id_).alias("_low"), F.max(id_).alias("_high"))
+        crowded = cut(ranges.filter((F.col("_n") > CROWDED * rows) & (F.col("_low") < F.col("_high"))))
+        if crowded.isEmpty():
+            break
+        parts = F.ceil(F.col("_n") / rows)
+        docs = docs.join(F.broadcast(crowded), F.col("block") == F.col("_block"), "left")  # CROWDED times fewer rows than blocks
+        divided = F.concat_ws("/", "block", part(F.col("_low"), F.col("_high"), parts))
+        docs = docs.withColumn("block", F.when(F.col("_block").isNull(), F.col("block")).otherwise(divided)).drop(*crowded.columns)
+    return docs
+
+
 def with_next(documents: DataFrame) -> DataFrame:
     """Blocks of consecutive documents: block, at (place in it), doc_id, text, next_text, extra.
 
@@ -87,17 +116,12 @@ def with_next(documents: DataFrame) -> DataFrame:
     each block, marked ``extra``, so that every document finds its successor in its own block.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
-    low, high = low or 0, high or 0
-    blocks = max(1, min(MOST_BLOCKS, -(-n // BLOCK_ROWS)))
-    width = (float(high) - float(low) + 1.0) / blocks
-    id_ = F.coalesce("doc_id", F.lit(low))
-    block = F.least(F.lit(blocks - 1), F.floor((id_.cast("double") - F.lit(float(low))) / F.lit(width)).cast("int"))
-    docs = docs.withColumn("id", id_).withColumn("block", block)
-
-    order = Window.orderBy("block")  # a row for each block
+    low = docs.agg(F.min("doc_id")).first()[0] or 0
+    docs = in_blocks(docs.withColumn("id", F.coalesce("doc_id", F.lit(low))))
+
+    order = Window.orderBy("id")  # a row for each block
     firsts = docs.groupBy("block").agg(F.min("id").alias("id"))
-    firsts = firsts.select("id", F.coalesce(F.lag("block").over(order), F.max("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
+    firsts = firsts.select("id", F.coalesce(F.lag("block").over(order), F.last("block").over(order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("before"))
     rows = docs.join(F.broadcast(firsts), "id", "left")
     places = F.array(F.struct(F.col("block").alias("block"), F.lit(False).alias("extra")), F.struct(F.col("before").alias("block"), F.lit(True).alias("extra")))
     rows = rows.select("doc_id", "id", "text", F.explode(F.filter(places, lambda x: x["block"].isNotNull())).alias("place")).select("doc_id", "id", "text", "place.block", "place.extra")
