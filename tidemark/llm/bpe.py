@@ -6,7 +6,8 @@ those that still hold the pair and enters the new neighbours into the lists of t
 independent and no merge makes a pair of lower rank (checked when the file is read), every word ends as it would alone.
 
 Defined results: a null text is empty; an empty text has no ids and decodes to an empty text; equal texts have equal
-ids; special strings inside texts become their ids, as the library does by default.
+ids, and repeated rows are all kept; special strings inside texts become their ids, as the library does by default; an
+empty table gives no rows; other columns are kept, whatever their names; a text of any length is one row of one block.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import word_bpe
 from tidemark.llm.common import blocks, table
+from tidemark.sources.shipping import ship
 
 VOCABULARY = "word_bpe_49k.json"
-#: Words whose ids a worker keeps (about 30 MB); beyond that it starts anew.
-KEPT_WORDS = 150_000
+#: Memory of the words whose ids a worker keeps, beyond which it starts anew, and of one such word besides its contents.
+KEPT_BYTES, WORD_BYTES = 48 << 20, 180
 #: Bytes of text in a block.
 BLOCK = 2 << 20
 
@@ -92,17 +94,20 @@ class Encoder:
     def __init__(self, path: str):
         self.bpe = word_bpe.load(path)
         self._kept: dict[str, bytes] = {}
+        self._held = 0
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [self.bpe.words(text or "") for text in texts]
-        if len(self._kept) > KEPT_WORDS:
+        if self._held > KEPT_BYTES:
             self._kept.clear()
+            self._held = 0
         kept = self._kept
         if not kept:
             kept.update({x: np.array([at], "<u4").tobytes() for x, at in self.bpe.specials.items()})
         unseen = [w for w in set().union(*split) if w not in kept]
         for word, ids in zip(unseen, merge_words(self.bpe, unseen), strict=True):
             kept[word] = np.array(ids, "<u4").tobytes()
+            self._held += WORD_BYTES + len(word) + 4 * len(ids)
         return [b"".join(map(kept.__getitem__, words)) for words in split]
 
     def decode(self, ids: bytes) -> str:
@@ -123,6 +128,7 @@ def encoder(path: str) -> Encoder:
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """``df`` with a column ``ids``: the token ids of ``text`` as an array (a column of that name is replaced)."""
+    ship(df.sparkSession)
     df = df.drop(ids)
     names = df.columns
 
@@ -140,6 +146,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """``df`` with the text that ``ids`` decode to."""
+    ship(df.sparkSession)
     df = df.drop(text)
     names = df.columns
 
