@@ -10,7 +10,7 @@ def documents(spark):
     def make(rows, extra=True):
         df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCUMENTS)
         if extra:
-            for name in ("score", "ids", "n_tokens", "rate", "replica", "sig", "key", "block", "blob_id", "label", "path", "id", "root"):
+            for name in ("score", "ids", "n_tokens", "rate", "replica", "sig", "key", "block", "blob_id", "label", "path", "id", "root", "cdf", "_source", "_rate", "_count", "_spans", "_blob", "_score", "_near_row", "whole", "text_", "todo"):
                 df = df.selectExpr("*", f"'clash' AS {name}")
         return df
 

@@ -2,15 +2,20 @@
 
 import itertools
 import math
+import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tidemark.llm import ann, fingerprints, mixing, near_dedup, quality, shingles, toxicity
+from tidemark.llm import ann, common, fingerprints, mixing, near_dedup, quality, shingles, toxicity
 
 
 def words(n, seed, size=400):
@@ -65,6 +70,32 @@ def test_collision_rate_is_generalised_jaccard(spark):
     assert np.abs(np.array(found) - want).max() < 0.11 and np.abs(np.mean(np.array(found) - want)) < 0.025
 
 
+def test_likeness_of_the_query_against_the_exact_one(spark, documents, sf):
+    rows = []
+    for at in range(60):
+        base = words(200, at)
+        rows.append((at, " ".join(base if at % 2 else words(200, at + 1)[: 3 * at] + base[3 * at :]), "s"))
+    found = {r.doc_id: r for r in fingerprints.op5_fingerprints(spark, sf(documents=documents(rows))).collect()}
+    gaps = []
+    for at, text, _ in rows:
+        after = rows[(at + 1) % len(rows)][1]
+        half = len(text) // 2
+        for got, other in ((found[at].near_edited, text[: len(text) - half] + after[:half]), (found[at].near_next, after)):
+            want = jaccard(text.split(), other.split())
+            gaps.append((got - want) / max(0.03, math.sqrt(want * (1 - want) / fingerprints.SAMPLES)))
+    assert abs(np.mean(gaps)) < 0.3 and 0.6 < np.std(gaps) < 1.3 and np.abs(gaps).max() < 4.5
+
+
+def test_outlying_ids_leave_no_block_large(spark):
+    ids = [*range(5000), *range(10**9, 10**9 + 3000), 10**12, -(10**15)]
+    facts = [F.min("id").alias("low"), F.max("id").alias("high"), F.count("*").alias("n")]
+    found = fingerprints.in_blocks(spark.createDataFrame([(i,) for i in ids], "id long")).groupBy("block").agg(*facts).collect()
+    assert max(r.n for r in found) <= fingerprints.CROWDED * fingerprints.BLOCK_ROWS and sum(r.n for r in found) == len(ids)
+    ordered = sorted(found, key=lambda r: r.low)
+    assert all(a.high < b.low for a, b in itertools.pairwise(ordered))
+    assert fingerprints.in_blocks(spark.createDataFrame([(7,)] * 2000, "id long")).groupBy("block").count().count() == 1
+
+
 def test_fingerprint_query(spark, documents, sf):
     rows = [(0, "a b c", "s"), (7, None, "s"), (7, " ", "s"), (300, "日本 " + " ".join(words(2000, 1)), "s"), (301, "日本 " + " ".join(words(2000, 1)), "s"), (10**9, "End TEXT", "s"), (5, "x", "s")]
     folder = sf(documents=documents(rows))
@@ -135,6 +166,21 @@ def test_near_groups_equal_brute_force(spark, documents, monkeypatch):
     assert near_dedup.near_groups(documents(rows).limit(0)).count() == 0
 
 
+def test_large_sets_near_the_threshold_equal_brute_force(spark, documents):
+    rng, rows = random.Random(11), []
+    for family, n in enumerate([1000, 1500, 2500, 5000] * 3):
+        base = [f"f{family}x{i}" for i in range(n)]
+        for member in range(4):  # J between 0.73 and 0.82 of two members
+            own = list(base)
+            cut = int(n * rng.uniform(0.05, 0.075))
+            at = rng.randrange(n - 2 * cut)
+            for i in range(at, at + 2 * cut if member == 3 else at + cut):
+                own[i] = f"m{member}y{rng.random()}"
+            rows.append((len(rows), " ".join(own), "s"))
+    found = near_dedup.near_groups(documents(rows)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in found} == brute(rows)
+
+
 def test_rows_without_an_id_of_their_own_are_documents(spark, documents, sf):
     texts = [" ".join(words(60, 70 + i, 10_000)) for i in range(6)]
     near = lambda t: t + " end"
@@ -236,6 +282,20 @@ def test_quality_query(spark, documents, sf):
     assert quality.op7_quality_classifier(spark, sf(documents=documents(good).limit(0), labels=labels)).count() == 0
 
 
+def test_splits_equal_an_exhaustive_search():
+    rng = np.random.default_rng(2)
+    x, y = rng.normal(size=(400, 3)), rng.integers(0, 2, 400).astype(float)
+    model = quality.fit(x, y, trees=1, depth=1, bins=16)
+    p = y.mean()
+    g, h = p - y, np.full(400, p * (1 - p))
+    best = max(
+        ((g[m].sum() ** 2 / (h[m].sum() + quality.L2) + g[~m].sum() ** 2 / (h[~m].sum() + quality.L2), f, c) for f in range(3) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 17)[1:-1])) if (h[m := x[:, f] <= c].sum() > 1) and h[~m].sum() > 1)
+    )
+    assert (model.feature[0, 0], model.threshold[0, 0]) == best[1:]
+    m = x[:, best[1]] <= best[2]
+    assert model.leaf[0] == pytest.approx([-quality.RATE * g[s].sum() / (h[s].sum() + quality.L2) for s in (m, ~m)])
+
+
 def test_toxicity_query(spark, documents, sf):
     rng = random.Random(2)
     rows = [(i, " ".join([*words(80, i), *([rng.choice(["idiot,", "Scum", "lowei" + rng.choice("abc")])] if i % 4 == 0 else [])]), "s") for i in range(600)]
@@ -263,6 +323,29 @@ def test_swaps_protect_neutral_mentions(spark, documents):
     assert toxicity.Swapper(toxicity.IDENTITIES).swap("Women, and blackbird") == "men, and blackbird" and toxicity.Swapper(()).swap("x") is None
 
 
+def test_counterfactuals_act_on_any_corpus(spark):
+    folder = "/root/testdata/sf0.01"
+    df, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    plain, fair = (toxicity.train(df, labels, penalty=p) for p in (0.0, toxicity.SWAP_PENALTY))
+    assert fair.twins > 500 and plain.twins == fair.twins and np.abs(plain.weights - fair.weights).max() > 0.01
+    swapper = toxicity.Swapper(toxicity.IDENTITIES)
+    texts = [r.text or "" for r in df.limit(200).collect()]
+    own = toxicity.features([term for kind in toxicity.IDENTITIES for term in kind])[1]
+    at = np.isin(fair.buckets, own)
+    assert np.abs(fair.weights[at]).max() < 0.6 * np.abs(plain.weights[at]).max()
+    gap = lambda m: np.abs(m.score([swapper.insert(t)[0] for t in texts]) - m.score(texts)).max()
+    assert gap(fair) < gap(plain)
+
+
+def test_counterfactual_texts():
+    swapper = toxicity.Swapper((("red", "blue", "green"), ("tall", "short")))
+    assert swapper.twins("The Red fox, redder") == [("The Red fox, redder", "the blue fox, redder"), ("The Red fox, redder", "the green fox, redder")]
+    (text, one), (again, other) = swapper.twins("no such word")
+    assert text == "no such word" and again == one != other and len(one.split()) == len(other.split()) == 4
+    assert {*one.split()} - {*text.split()} | {*other.split()} - {*text.split()} <= {"red", "blue", "green", "tall", "short"}
+    assert swapper.twins("no such word") == [(text, one), (again, other)] and len(swapper.twins("")) == 2 and toxicity.Swapper(()).twins("x") == []
+
+
 @pytest.mark.parametrize(("one", "other"), [("muslime", "christen"), ("musulmans", "chrétiens"), ("musulmanes", "cristianos")])
 def test_swaps_protect_mentions_in_other_languages(spark, documents, one, other):
     rng, rows, marks = random.Random(4), [], []
@@ -307,9 +390,130 @@ def test_nearest(spark, sf):
     assert ann.op10_nearest_neighbours(spark, sf(embeddings=df.limit(0))).count() == 0
 
 
+def test_cells_and_shards(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(30, 24)) * 3
+    x = centres[rng.integers(0, 30, 6000)] + rng.normal(size=(6000, 24)) * 0.5
+    x[:2000] = x[0] + rng.normal(size=(2000, 24)) * 0.01  # a dense cluster with a third of the rows
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    vectors = ann.sound(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    for name, value in {"PIVOTS": 512, "NEAR": 32, "SHARD": 400, "BLOCK": 50, "MOST_CELLS": 12}.items():
+        monkeypatch.setattr(ann, name, value)
+    found = ann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 10).toPandas()
+    want = exact(rows, 10)
+    got = {q: g.sort_values("rank").vec_id.tolist() for q, g in found.groupby("query_id")}
+    assert set(got) == set(want) and all(len(v) == 10 for v in got.values())
+    assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.95
+
+
+def test_agreement_is_the_footrule_distance():
+    rng = np.random.default_rng(7)
+    x, pivots = rng.normal(size=(300, 8)), rng.normal(size=(60, 8))
+    order, _ = ann.orders(x, pivots, 12)
+    assert (order == np.argsort(-(x.astype("f4") @ pivots.astype("f4").T), axis=1)[:, :12]).all()
+    shard = ann.Shard(np.arange(300), x, order, 60)
+    place = lambda o: {p: at for at, p in enumerate(o.tolist())}
+    for q in range(0, 300, 50):
+        own = place(order[q])
+        footrule = [sum(abs(own.get(p, 12) - other.get(p, 12)) for p in own.keys() | other.keys()) for other in map(place, order)]
+        assert (12 * 13 - 2 * shard.agreement(order[q]) == footrule).all()
+
+
+# All operators
+
+
+def test_scratch_folder_must_be_shared(monkeypatch):
+    from types import SimpleNamespace as N
+
+    def session(master):
+        context = N(master=master, _jsc=N(sc=lambda: N(getCheckpointDir=lambda: N(isDefined=lambda: False))))
+        return N(sparkContext=context, conf=N(get=lambda key, default: default))
+
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            common.scratch_dir(session(master))
+
+
+def test_dropped_tables(spark):
+    since = common.mark()
+    one, two = common.cut(spark.range(3)), common.cut(spark.range(4))
+    common.drop(spark, since, [two])
+    assert two.count() == 4
+    with pytest.raises(Exception, match="FILE_NOT_EXIST|does not exist"):
+        one.count()
+    common.drop(spark, since)
+    assert common.mark() == since
+
+
+def test_clashing_columns_are_kept(spark, documents, sf):
+    docs = documents([(i, " ".join(words(30, i)) + ' token="04dbebab91ab85687d33eeaaf9ac699e1188f962"', f"s{i % 2}") for i in range(30)])
+    folder = sf(documents=docs, labels=labelled(spark, [(i, 1, 0) for i in range(30)]))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        kept = out.collect()
+        assert kept and all(v == "clash" for r in kept for k, v in r.asDict().items() if k not in ("doc_id", "text", "lang", "source", "n_chars")), name
+    assert "ids" in corpus_pipeline.encoding_stage(spark, docs, folder).columns
+
+
+def test_operators_run_from_another_folder(tmp_path):
+    script = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parent.parent.parent)!r})
+import numpy as np
+import public_tokenizers
+from pyspark.sql import SparkSession
+from tidemark.llm import ann, bpe, near_dedup, quality, secrets, token_counts, toxicity
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+df = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text string")
+run = {{
+    "scan": lambda: secrets.scan(secrets.address(df)), "near": lambda: near_dedup.near_groups(df), "encode": lambda: bpe.encode(df, public_tokenizers.path(bpe.VOCABULARY)),
+    "count": lambda: token_counts.count_tokens(df, public_tokenizers.path(bpe.VOCABULARY)), "quality": lambda: quality.score(df, quality.fit(np.zeros((0, 21)), np.zeros(0))),
+    "toxic": lambda: toxicity.score(df, toxicity.fit([], [], np.zeros(0), None)),
+    "ann": lambda: ann.nearest(*2 * [spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, v array<double>")], 1),
+}}[sys.argv[1]]
+assert run().count() == 2
+"""
+    (tmp_path / "script.py").write_text(script)
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    names = ("scan", "near", "encode", "count", "quality", "toxic", "ann")
+    running = {name: subprocess.Popen([sys.executable, "script.py", name], cwd=tmp_path, env=env, stderr=subprocess.PIPE, text=True) for name in names}
+    for name, process in running.items():
+        _, error = process.communicate(timeout=300)
+        assert process.returncode == 0, (name, error[-2000:])
+
+
 # Pipeline
 
 
+def test_pipeline_against_plain_loops(spark, documents, sf):
+    import hashlib
+
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
+    rows = [(i, " ".join(words(40, i, 5000)) + (f" {secret}" if i % 5 == 0 else ""), f"s{i % 3}" if i % 7 else None) for i in range(90)]
+    rows += [(200 + i, rows[i][1] + " end", "s0") for i in range(20)] + [(300, None, "s1"), (301, "", "s1")]
+    folder = sf(documents=documents(rows, extra=False), labels=labelled(spark, []))  # without labels the classifier keeps all
+    kept = {i for i, (_, root) in brute(rows).items() if i == root}
+    clean = {i: re.sub(r"token = \"[0-9a-f]{40}", "[assign]", t or "") for i, t, _ in rows if i in kept}
+    sources = {i: s for i, _, s in rows if i in kept}
+    sizes = Counter(sources.values())
+    weight = {s: math.sqrt(n) for s, n in sizes.items()}
+    library, want = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), Counter()
+    for i in kept:
+        rate = len(kept) * weight[sources[i]] / sum(weight.values()) / sizes[sources[i]]
+        uniform = (int(hashlib.md5(f"{mixing.SEED}:{i}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+        count = total = 0
+        while (total := total + math.exp(-rate) * rate**count / math.factorial(count)) <= uniform:
+            count += 1
+        if count:
+            want[i, sources[i], tuple(library.encode(clean[i], add_special_tokens=False).ids)] = count
+    found = Counter((r.doc_id, r.source, tuple(r.ids)) for r in corpus_pipeline.run(spark, folder).collect())
+    assert found == want and len(kept) == 92 and max(want.values()) > 1
+
+
 def test_pipeline_against_its_parts(spark, documents, sf):
     secret = 'token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     good = [(i, " ".join(words(60, i, 5000)) + ".", f"s{i % 2}") for i in range(120)]

@@ -31,6 +31,13 @@ def test_bpe_and_counts_equal_the_library():
     assert counter.count([]).tolist() == [] and encoder.encode([]) == []
 
 
+def test_encoder_starts_anew_when_full(monkeypatch):
+    library, own = Tokenizer.from_file(PATH), bpe.Encoder(PATH)
+    monkeypatch.setattr(bpe, "KEPT_BYTES", 1)
+    for t in ("hello world <|endoftext|>", "another text's words", "hello again"):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == library.encode(t, add_special_tokens=False).ids
+
+
 def test_transducer_starts_anew_when_full(monkeypatch):
     library = Tokenizer.from_file(PATH)
     monkeypatch.setattr(token_counts, "MOST_CELLS", 1)
@@ -39,6 +46,29 @@ def test_transducer_starts_anew_when_full(monkeypatch):
         assert own.count([t]).tolist() == [len(library.encode(t, add_special_tokens=False).ids)]
 
 
+def test_unbroken_runs():
+    library, own, rng = Tokenizer.from_file(PATH), token_counts.Transducer(PATH), random.Random(5)
+    letters = "".join(rng.choices("abcdefghijklmnopqrstuvwxyzé", k=30_000))
+    hard = [letters, "x " + letters + "'s", "'" + letters[:3000], "1" + letters[:2000] + "2", "=" * 5000, "=-" * 800 + "'" * 600, "é" * 700 + "=" * 700, "日本" * 600, letters[:511] + " " + letters[:512], "'s" + "re" * 400, "a-" * 3000]
+    assert own.count(hard).tolist() == [len(library.encode(t, add_special_tokens=False).ids) for t in hard]
+    kept = len(own.states)
+    own.count(["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=100_000))])
+    assert len(own.states) < kept + 100  # no table grows with a run
+
+
+def test_tokens_fit_as_the_library_has_it():
+    library, core, rng = Tokenizer.from_file(PATH), token_counts.transducer(PATH).words, random.Random(6)
+    inner, last = list(core.inner.items()), list(core.last.items())
+    for _ in range(3000):
+        (a, left), (b, right) = rng.choice(inner), rng.choice(last)
+        try:
+            word = (a + b).decode()
+        except UnicodeDecodeError:
+            continue
+        if core.sound(left) and len(library.pre_tokenizer.pre_tokenize_str(word)) == 1 and library.normalizer.normalize_str(word) == word:
+            assert core.fits(left, right) == (library.encode(word, add_special_tokens=False).ids == [left, right])
+
+
 def test_bpe_queries(spark, documents, sf):
     rows = [(i, t, "s") for i, t in enumerate(texts())] + [(3, "the cat", "s"), (3, "the cat", "s")]
     folder = sf(documents=documents(rows))
@@ -129,6 +159,30 @@ def test_ledger_is_incremental(spark, documents):
 def test_redaction(spark, documents):
     out = secrets.redact_documents(documents([(1, 'x token="04dbebab91ab85687d33eeaaf9ac699e1188f962" y', "s"), (2, "plain", "s"), (3, None, "s")])).orderBy("doc_id").collect()
     assert [r.text for r in out] == ['x [assign]" y', "plain", None] and out[0].n_chars == 13 and out[0].score == "clash"
+    assert {r[name] for r in out for name in ("blob_id", "_spans", "_blob")} == {"clash"}
+
+
+def test_more_rules_equal_brute_force(spark, documents, sf):
+    rng = random.Random(8)
+    parts = ["-----BEGIN ", "RSA ", "PRIVATE KEY-----", "eyJ", ".", "a1B2_-c3D4", "ghp_", "x" * 36, "xoxb-", "sk_live_", "0" * 16, " ", "日", "AKIA", "token=", "A" * 18]
+    rows = [(i, "".join(rng.choices(parts, k=rng.randint(1, 14))), "s") for i in range(400)]
+    plain = (("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"), ("signed_token", r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"), ("prefixed_key", r"\b(?:gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,})"))
+    hits = 0
+    for r in secrets.op2_secret_scans(spark, sf(documents=documents(rows))).collect():
+        text = rows[r.doc_id][1]
+        spans = brute_spans(text) + [(m.start(), 3 + rank, kind, m.end()) for rank, (kind, pattern) in enumerate(plain) for m in re.finditer(pattern, text, re.ASCII)]
+        assert r.spans == ",".join(f"{k}:{s}:{e}" for s, _, k, e in sorted(spans))
+        hits += len(spans) - len(brute_spans(text))
+    assert hits > 50
+
+
+def test_the_query_scans_each_blob_once(spark, documents, sf, monkeypatch):
+    scans, scan = [], secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda *a: scans.append(scan(*a)) or scans[-1])
+    rows = [(i, f"token=abcdefghijkl{i % 20}", "s") for i in range(400)]
+    assert secrets.op2_secret_scans(spark, sf(documents=documents(rows))).count() == 400
+    assert [s.count() for s in scans] == [20, 0] or sum(s.count() for s in scans) == 20
+    assert len(scans) == secrets.DELIVERIES == 2
 
 
 @pytest.mark.parametrize("seed", range(3))

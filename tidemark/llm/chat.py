@@ -2,10 +2,12 @@
 
 A turn is rendered as ``<|im_start|>role\\ntext<|im_end|>\\n``.  A deterministic parser reads the rendering back; where
 what it recovers differs from the source, the text is escaped (one backslash more in each ``<\\...\\|``) and parsed
-again.  The parser always takes one backslash away, so a text that needs no escape is left as it is.
+again.  The parser always takes one backslash away, so a text that needs no escape is left as it is, and one escape always
+suffices; a turn that did not come back then would end the job with an error.
 
 Defined results: a null text or role is empty; turns go by turn, role and text, so ties and repeated rows have one order
-and are all kept; a null turn number comes first; rows of a null conv_id form one conversation.
+and are all kept; a null turn number comes first; rows of a null conv_id form one conversation;
+an empty table gives no rows; other columns are ignored, whatever their names; a conversation of any length is one string.
 """
 
 from __future__ import annotations
@@ -16,8 +18,6 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import table
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Rounds of escaping; one always suffices, the second only proves it.
-ROUNDS = 2
 
 
 def escape(text: Column) -> Column:
@@ -69,10 +69,11 @@ def render(turns: DataFrame) -> DataFrame:
     ``loss_spans`` has start and end (exclusive) of each assistant text in ``formatted``, in code points.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("body", F.col("text"))
-    for _ in range(ROUNDS):
+    for last in (False, True):
         back = parse(render_turn(F.col("role"), F.col("body")))
         kept = (F.size(back) == 1) & F.coalesce((back[0]["role"] == F.col("role")) & (back[0]["text"] == F.col("text")), F.lit(False))
-        rows = rows.withColumn("kept", kept).withColumn("body", F.when(F.col("kept"), F.col("body")).otherwise(escape(F.col("body")))).drop("kept")
+        other = F.raise_error(F.lit("a turn does not come back from its rendering")).cast("string") if last else escape(F.col("body"))
+        rows = rows.withColumn("kept", kept).withColumn("body", F.when(F.col("kept"), F.col("body")).otherwise(other)).drop("kept")
     rows = rows.withColumn("rendered", render_turn(F.col("role"), F.col("body")))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("stop", F.sum(F.length("rendered").cast("long")).over(order))

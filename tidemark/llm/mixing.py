@@ -7,7 +7,7 @@ The result is the same for any partitioning and after any retry.
 
 Defined results: a null source is a source of its own; sources that are not weighted get ``rest``; a source of weight 0
 gives no rows; rows of equal id have equal counts; a null id is an empty one; an empty table gives no rows; the columns
-``replica``, ``rate`` and ``shuffle_key`` replace columns of those names.
+``replica``, ``rate`` and ``shuffle_key`` replace columns of those names, and all others are kept, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import table
+from tidemark.llm.common import table, unused
 
 SEED = 20_240
 #: Sources up to which their rates are broadcast; beyond, the join is dealt by source and a salt.
@@ -64,19 +64,20 @@ def mix(documents: DataFrame, weights: Mapping[str, float] | None = None, rest:
     """The mixture: rows of ``documents`` with rate, replica (from 0) and shuffle_key, in the global order of the last."""
     documents = documents.drop("rate", "replica", "shuffle_key")
     names = documents.columns
-    found = rates(documents, weights, rest, tempered, epochs)
+    own, cdf, salt, count, rate = unused(documents, "_source", "_cdf", "_salt", "_count", "_rate")
+    found = rates(documents, weights, rest, tempered, epochs).toDF(own, rate, cdf)
     known = found.limit(MOST_SOURCES + 1).collect()  # bounded: one row for each source, no more than this
     if len(known) <= MOST_SOURCES:
         held = documents.sparkSession.createDataFrame([tuple(row) for row in known], found.schema)
-        joined = documents.join(F.broadcast(held.withColumnRenamed("source", "_source")), F.col("source").eqNullSafe(F.col("_source")))
+        joined = documents.join(F.broadcast(held), F.col("source").eqNullSafe(F.col(own)))
     else:
-        salted = found.withColumnRenamed("source", "_source").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        dealt = documents.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-        joined = dealt.join(salted, (dealt["_salt"] == salted["_salt"]) & F.col("source").eqNullSafe(F.col("_source"))).drop("_salt")
+        salted = found.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = documents.withColumn(salt, F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, (dealt[salt] == salted[salt]) & F.col("source").eqNullSafe(F.col(own))).drop(salt)
     id_ = F.coalesce(F.col(key).cast("string"), F.lit(""))
     uniform = (hashed(F.lit(str(seed)), id_, digits=13).cast("double") + 0.5) / F.lit(float(1 << 52))
-    count = F.size(F.filter("cdf", lambda c: c <= uniform))
-    copies = joined.withColumn("_count", count).filter("_count > 0").select(*names, "rate", F.explode(F.sequence(F.lit(0), F.col("_count") - 1)).alias("replica"))
+    copies = joined.withColumn(count, F.size(F.filter(cdf, lambda c: c <= uniform))).filter(F.col(count) > 0)
+    copies = copies.select(*(F.col(f"`{name}`") for name in names), F.col(rate).alias("rate"), F.explode(F.sequence(F.lit(0), F.col(count) - 1)).alias("replica"))
     keyed = copies.withColumn("shuffle_key", hashed(F.lit(str(seed)), id_, F.col("replica").cast("string"), digits=15))
     return keyed.repartition("shuffle_key").sortWithinPartitions("shuffle_key")
 

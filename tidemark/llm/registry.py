@@ -14,4 +14,9 @@ QUERIES = {
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_nearest_neighbours": ann.op10_nearest_neighbours,
 }
-ORACLE_SQL = {"op1_chat_formatting": chat.ORACLE_SQL, "op4_mixing": mixing.ORACLE_SQL}
+ORACLE_SQL = {
+    "op1_chat_formatting": chat.ORACLE_SQL,
+    "op2_secret_scans": secrets.ORACLE_SQL,
+    "op4_mixing": mixing.ORACLE_SQL,
+    "op6_near_dedup": near_dedup.ORACLE_SQL,
+}

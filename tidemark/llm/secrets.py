@@ -5,7 +5,9 @@ run over which blob.  A scan reads only the blobs for which some rule version is
 missing rules, appends what it found and joins the findings back to every path that holds the blob.
 
 Defined results: a null text counts as empty; an empty text has no findings; equal texts share one scan and get equal
-findings; a repeated path gets one row for each occurrence; other columns of the input are ignored, whatever their names.
+findings; a repeated path gets one row for each occurrence, and so does a null one; spans that start together are listed
+in the order of the rules; an empty table gives no rows; other columns of the input are ignored (by redaction: kept),
+whatever their names; a text of any length is scanned whole.
 """
 
 from __future__ import annotations
@@ -18,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, table, unused
+from tidemark.sources.shipping import ship
 
 
 @dataclass(frozen=True)
@@ -100,16 +103,15 @@ def merged(ledger: DataFrame) -> DataFrame:
 def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """New ledger rows for ``versions`` (of :func:`address`): of the blobs and rule versions that ``ledger`` lacks alone."""
     by_key, ranks = {rule.key: rule for rule in rules}, {rule.kind: at for at, rule in enumerate(rules)}
+    ship(versions.sparkSession)
 
-    if ledger is not None:
-        known = merged(ledger)
-        ids = versions.select("blob_id").distinct().join(known.select("blob_id", "scanned"), "blob_id", "left")
-        todo = ids.select("blob_id", F.array_except(_pairs(rules), F.coalesce("scanned", F.array().cast("array<string>"))).alias("todo")).filter(F.size("todo") > 0)
-        versions = versions.join(todo, "blob_id")
-    else:
-        versions = versions.withColumn("todo", _pairs(rules))
     # Copies within a partition meet before the shuffle, so a hot blob sends one row from each partition.
-    blobs = versions.groupBy("blob_id").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    blobs = versions.groupBy("blob_id").agg(F.first("text").alias("text")).withColumn("todo", _pairs(rules))
+    if ledger is not None:
+        # The ledger's rows come to the blobs, which are dealt by their id already; texts move once in all.
+        known = merged(ledger).select("blob_id", F.col("scanned").alias("known"))
+        missing = F.array_except("todo", F.coalesce("known", F.array().cast("array<string>")))
+        blobs = blobs.join(known, "blob_id", "left").withColumn("todo", missing).filter(F.size("todo") > 0).drop("known")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(
@@ -129,8 +131,8 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule
 
 def findings(versions: DataFrame, ledger: DataFrame) -> DataFrame:
     """Findings of each path (one row for each row of ``versions``): path, blob_id, findings."""
-    # Only blobs with findings are joined; a hot blob's paths are split by the adaptive skew join.
-    found = merged(ledger.filter(F.size("findings") > 0)).select("blob_id", "findings")
+    # Only blobs with findings are joined; they are written first, so that the adaptive skew join can split a hot blob's paths.
+    found = cut(merged(ledger.filter(F.size("findings") > 0)).select("blob_id", "findings"))
     empty = F.array().cast(f"array<{_FINDING}>")
     return versions.select("path", "blob_id").join(found, "blob_id", "left").withColumn("findings", F.coalesce("findings", empty))
 
@@ -153,21 +155,31 @@ def redact(text, spans):
 
 def redact_documents(documents: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``documents`` with secrets redacted; ``n_chars``, if there is one, follows the new texts."""
+    names = documents.columns
+    blob, spans = unused(documents, "_blob", "_spans")
     fresh = cut(scan(address(documents), ledger, rules))
     known = fresh if ledger is None else ledger.unionByName(fresh)
-    found = merged(known.filter(F.size("findings") > 0)).select("blob_id", F.col("findings").alias("_spans"))
-    names = documents.columns
-    joined = documents.withColumn("blob_id", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, "blob_id", "left")
-    text = F.when(F.col("_spans").isNotNull(), redact(F.col("text"), F.col("_spans"))).otherwise(F.col("text"))
-    joined = joined.withColumn("text", text)
+    found = cut(merged(known.filter(F.size("findings") > 0)).select(F.col("blob_id").alias(blob), F.col("findings").alias(spans)))
+    joined = documents.withColumn(blob, F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))).join(found, blob, "left")
+    joined = joined.withColumn("text", F.when(F.col(spans).isNotNull(), redact(F.col("text"), F.col(spans))).otherwise(F.col("text")))
     if "n_chars" in names:
-        joined = joined.withColumn("n_chars", F.when(F.col("_spans").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return joined.select(*names)
+        joined = joined.withColumn("n_chars", F.when(F.col(spans).isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    return joined.select(*(F.col(f"`{name}`") for name in names))
+
+
+#: Parts in which the query's table comes, one scan after the other.
+DELIVERIES = 2
 
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table comes in deliveries; each extends the ledger by the blobs that earlier ones did not hold, and in the end
+    the findings of all are joined to all paths."""
     versions = address(table(spark, sf_dir, "documents"))
-    ledger = cut(scan(versions))
+    delivery = F.pmod(F.xxhash64("path"), F.lit(DELIVERIES))
+    ledger = None
+    for at in range(DELIVERIES):
+        fresh = cut(scan(versions.filter(delivery == at), ledger))
+        ledger = fresh if ledger is None else ledger.unionByName(fresh)
     found = findings(versions, ledger)
     base = [rule.kind for rule in BASE_RULES]
     count = lambda kind: F.size(F.filter("findings", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -178,3 +190,30 @@ def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         _joined(F.col("findings")).alias("spans"),
         F.lower(F.hex("blob_id")).alias("blob_id"),
     )
+
+
+def _sql_spans(rule: Rule) -> str:
+    """Spans of a rule in SQL: what stands between the matches gives their places."""
+    pattern = rule.pattern.replace("(?i:password|passwd|secret|token|api_?key)", "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in word) for word in ("password", "passwd", "secret", "token", "api_?key")))
+    pattern = pattern.replace("'", "''")
+    return f"""SELECT doc_id, '{rule.kind}' AS kind, {RULES.index(rule)} AS rank, unnest(regexp_split_to_array(text, '{pattern}')[:-2]) AS gap,
+      unnest(regexp_extract_all(text, '{pattern}')) AS found, unnest(regexp_extract_all(text, '{pattern}', {rule.group})) AS held, {rule.least} AS least,
+      unnest(range(len(regexp_extract_all(text, '{pattern}')))) AS n FROM texts WHERE regexp_matches(text, '{pattern}')"""
+
+
+ORACLE_SQL = f"""
+WITH texts AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+pieces AS ({" UNION ALL ".join(map(_sql_spans, RULES))}),
+spans AS (
+  SELECT doc_id, kind, rank, held, least, found, sum(length(gap) + length(found)) OVER (PARTITION BY doc_id, kind ORDER BY n) AS stop FROM pieces
+), kept AS (SELECT doc_id, kind, rank, stop - length(found) AS start, stop FROM spans WHERE length(held) >= least),
+listed AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) FILTER (rank < {len(BASE_RULES)}) AS base,
+    string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, rank) AS spans
+  FROM kept GROUP BY doc_id
+)
+SELECT t.doc_id, coalesce(n_assign, 0)::BIGINT AS n_assign, coalesce(n_access, 0)::BIGINT AS n_access, coalesce(n_hex, 0)::BIGINT AS n_hex,
+  sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, sha256(text) AS blob_id
+FROM texts t LEFT JOIN listed l ON l.doc_id IS NOT DISTINCT FROM t.doc_id
+"""
