@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before it kept and returns a DataFrame; all but the last
 return the columns of ``documents``.  A stage's output is written as Parquet and read again as the next one's input.
+
+Defined results of every stage: a null text counts as empty, and stays null where a stage keeps it; empty texts are
+documents like others (the classifier may reject them); texts are taken whole, whatever their length; ties and repeated
+rows are treated alike, and only near copies go; a null source is a source; an empty table gives no rows; columns besides
+doc_id, text and source are kept as they are, whatever their names (n_chars follows a redacted text), but for the last
+stage, which returns doc_id, source, lang, n_tokens and ids.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, mixing, near_dedup, quality, secrets
-from tidemark.llm.common import cut, table
+from tidemark.llm.common import cut, table, unused
 from tidemark.sources.shipping import ship
 
 
@@ -19,7 +25,8 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the classifier rejects go."""
     ship(spark)
     model = quality.train(docs, table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").filter(F.col("_score") >= quality.THRESHOLD).select(*docs.columns)
+    (score,) = unused(docs, "_score")
+    return quality.score(docs, model, score).filter(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +43,8 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources get shares as the square roots of their sizes; documents are repeated accordingly."""
-    return mixing.mix(docs, tempered=0.5).select(*docs.columns)
+    whole = docs.select("doc_id", "source", F.struct(*(F.col(f"`{name}`") for name in docs.columns)).alias("whole"))
+    return mixing.mix(whole, tempered=0.5).select("whole.*")
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,7 +62,8 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: The stages hold a trained classifier and a tokenizer, which SQL can't express; tests compare them with brute force.
+#: The stages hold a trained classifier and a tokenizer, which SQL can't express; a test compares all that follows the
+#: classifier with plain loops (groups, redaction, Poisson counts) and with the tokenizer's library.
 ORACLE_SQL = None
 
 
