@@ -154,19 +154,18 @@ def _(spark, sf_dir):
 
 @query("y_init_stats", f"WITH {DAILY}, {TIMED} SELECT series, round(avg(ys), 8) AS mean, round(stddev_pop(ys), 8) AS std FROM timed GROUP BY 1")
 def _(spark, sf_dir):
-    return timed(spark, sf_dir).groupBy("series").agg(F.round(F.avg("ys"), 8).alias("mean"), F.round(F.stddev_pop("ys"), 8).alias("std"))
+    return prepare.y_stats(timed(spark, sf_dir), KEY).select("series", F.round("mean", 8).alias("mean"), F.round("std", 8).alias("std"))
 
 
 @query("residual_sigma_start", f"WITH {DAILY}, {TIMED} SELECT series, round(least(greatest(stddev_pop(ys - t), 0.01::DOUBLE), 10.0::DOUBLE), 8) AS sigma FROM timed GROUP BY 1")
 def _(spark, sf_dir):
-    spread = F.stddev_pop(F.col("ys") - F.col("t"))
-    return timed(spark, sf_dir).groupBy("series").agg(F.round(F.least(F.greatest(spread, F.lit(0.01)), F.lit(10.0)), 8).alias("sigma"))
+    return prepare.sigma_start(timed(spark, sf_dir), KEY, F.col("t")).select("series", F.round("sigma", 8).alias("sigma"))
 
 
 @query("weights_default", f"WITH {DAILY} SELECT series, sum(coalesce(CASE WHEN day(ds) <= 10 THEN 2.0::DOUBLE END, 1.0::DOUBLE)) AS weight FROM daily GROUP BY 1")
 def _(spark, sf_dir):
     rows = daily(spark, sf_dir).withColumn("weight", F.when(F.dayofmonth("ds") <= 10, 2.0))
-    return rows.groupBy("series").agg(F.sum(F.coalesce("weight", F.lit(1.0))).alias("weight"))
+    return prepare.total_weight(rows, KEY)
 
 
 @query(
@@ -250,8 +249,7 @@ _ARRAYS = lambda: (F.array(*map(F.lit, _S)), F.array(*map(F.lit, _D)))  # noqa:
 
 @query("changepoint_matrix", f"WITH {DAILY}, {TIMED} SELECT series, ds, j, CASE WHEN t >= s THEN 1.0::DOUBLE ELSE 0.0 END AS a FROM timed, (VALUES (0, 0.2::DOUBLE), (1, 0.5), (2, 0.8)) v(j, s)")
 def _(spark, sf_dir):
-    rows = timed(spark, sf_dir).select("series", "ds", "t", F.posexplode(_ARRAYS()[0]).alias("j", "s"))
-    return rows.select("series", "ds", "j", F.when(F.col("t") >= F.col("s"), 1.0).otherwise(0.0).alias("a"))
+    return timed(spark, sf_dir).select("series", "ds", F.posexplode(X.changepoint_row(F.col("t"), _ARRAYS()[0])).alias("j", "a"))
 
 
 def _trend(rows: DataFrame, growth: str) -> Column:
@@ -298,7 +296,7 @@ def _(spark, sf_dir):
 @query("trend_flat", f"WITH {DAILY}, {TIMED} SELECT series, ds, round(avg(ys) OVER (PARTITION BY series), 8) AS trend FROM timed")
 def _(spark, sf_dir):
     rows = timed(spark, sf_dir)
-    return rows.join(rows.groupBy("series").agg(F.avg("ys").alias("m")), KEY).select("series", "ds", rnd("m", 8).alias("trend"))
+    return rows.join(prepare.y_stats(rows, KEY), KEY).select("series", "ds", rnd("mean", 8).alias("trend"))
 
 
 _ENDS = f"WITH {DAILY}, {TIMED}, e AS (SELECT series, arg_min(ys, ds) AS y0, arg_max(ys, ds) AS y1, avg(ys) AS mean FROM timed GROUP BY 1)"
@@ -338,19 +336,7 @@ p AS (SELECT a.*, b1.ys AS yb1, b1.t AS tb1, b0.ys AS yb0, b0.t AS tb0, a1.ys AS
 SELECT series, j, round(least(greatest((ya1 - ya0) / (ta1 - ta0) - (yb1 - yb0) / (tb1 - tb0), -(abs(k) * 0.5 + 0.1)), abs(k) * 0.5 + 0.1), 6) + 0.0 AS delta FROM p""",
 )
 def _(spark, sf_dir):
-    w = Window.partitionBy("series").orderBy("ds")
-    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    size = F.least(F.greatest(F.floor(F.col("n_obs") / 20), F.lit(3)), F.lit(50))
-    rows = timed(spark, sf_dir).withColumns({"i": F.row_number().over(w) - 1, "w": size, "k": F.last("ys").over(whole) - F.first("ys").over(whole)})
-    points = rows.select("series", "i", "t", "ys")
-    cps = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(_S)))
-    at = rows.select("series", "n_obs", "w", "k", "i", "t", F.inline(cps)).filter("t >= s").groupBy("series", "j", "n_obs", "w", "k").agg(F.min("i").alias("at")).filter("at > 0 AND at < n_obs - 1")
-    for name, place in (("b1", F.col("at") - 1), ("b0", F.greatest(F.col("at") - F.col("w"), F.lit(0))), ("a0", F.col("at")), ("a1", F.least(F.col("at") + F.col("w"), F.col("n_obs")) - 1)):
-        own = points.select("series", F.col("i").alias("_i"), F.col("t").alias(f"t{name}"), F.col("ys").alias(f"y{name}"))
-        at = at.withColumn("_i", place.cast("int")).join(own, ["series", "_i"]).drop("_i")
-    slope = lambda x: (F.col(f"y{x}1") - F.col(f"y{x}0")) / (F.col(f"t{x}1") - F.col(f"t{x}0"))
-    most = F.abs("k") * 0.5 + 0.1
-    return at.select("series", "j", rnd(F.least(F.greatest(slope("a") - slope("b"), -most), most)).alias("delta"))
+    return prepare.delta_start(timed(spark, sf_dir), KEY, _S).withColumn("delta", rnd("delta"))
 
 
 # Features
@@ -416,8 +402,8 @@ def _(spark, sf_dir):
     f"WITH {DAILY}, {TIMED}, x AS (SELECT series, ds, list_value({', '.join(_WEEK)}, " + ", ".join(f"CASE WHEN ds::DATE = DATE '{d}' THEN 1.0::DOUBLE ELSE 0.0 END" for d in _HOLIDAYS.dates) + ", (n_orders - 4.0::DOUBLE) / 2.0::DOUBLE) AS x FROM timed) SELECT series, ds, i::INT AS i, round(x[i + 1], 6) + 0.0 AS x FROM x, range(0, 10) g(i)",
 )
 def _(spark, sf_dir):
-    columns = [*X.fourier_terms(F.col("days"), 7.0, 3), *X.holiday_terms(F.col("ds"), _HOLIDAYS.dates, 0, 0), (F.col("n_orders") - 4.0) / 2.0]
-    return timed(spark, sf_dir).select("series", "ds", F.posexplode(F.array(*columns)).alias("i", "x")).withColumn("x", rnd("x"))
+    row = X.design_row(X.fourier_terms(F.col("days"), 7.0, 3), X.holiday_terms(F.col("ds"), _HOLIDAYS.dates, 0, 0), [(F.col("n_orders") - 4.0) / 2.0])
+    return timed(spark, sf_dir).select("series", "ds", F.posexplode(row).alias("i", "x")).withColumn("x", rnd("x"))
 
 
 # Prediction with given parameters
@@ -528,9 +514,38 @@ def _(spark, sf_dir):
     return found.select("series", rnd("mean_abs").alias("mean_abs"), rnd("max_abs").alias("max_abs"), rnd("relative", 9).alias("relative"))
 
 
-# Fits: rows only; the tests check parameters, objectives and invariances
+# Fits.  Where a model has no features and no changepoints SQL finds the estimate too; for the others it finds what a fit
+# takes from the data (scales, changepoint places, sizes, errors), and the tests check parameters, objectives and invariances.
 
-_TOLD = ["series", "n_obs", "growth", "k", "m", "sigma_obs", "objective", "converged", "error"]
+
+def _fit_facts_sql(frame: str, source: str = "", features: str = "0", config: Config = Config(), y: str = "y", places: str | None = None) -> str:
+    """SQL of :func:`_fit_facts`: ``features`` is the number of coefficients, given span_days and n."""
+    count = config.n_changepoints
+    share, tau = f"{config.changepoint_range!r}::DOUBLE", f"{config.changepoint_prior_scale!r}::DOUBLE"
+    number = f"CASE WHEN n >= 75000 THEN {min(count, 10)} WHEN n >= 25000 THEN {min(count, 15)} WHEN n >= 10000 THEN {min(count, 20)} ELSE {count} END"
+    scale = f"CASE WHEN n >= 75000 THEN least({tau}, 0.02) WHEN n >= 25000 THEN least({tau}, 0.03) WHEN n >= 10000 THEN least({tau}, 0.04) ELSE {tau} END"
+    changes = places or "list_sort(list_distinct(list_transform(range(1, c + 1), lambda i: ts[least(greatest(floor(i * e / (c + 1)::DOUBLE + 0.5)::BIGINT, 1), e - 1) + 1])))"
+    none = "len(list_filter([1], lambda x: true)) = 0" if places else f"n <= 2 OR c = 0 OR e <= 1 OR '{config.growth}' = 'flat'"
+    return f"""WITH {frame}, rows AS (SELECT * FROM {source or "daily"}),
+f AS (SELECT series, count(*) AS n, min(ds) AS t0, max(ds) AS t_last, greatest(max(abs({y})), 1.0::DOUBLE) AS y_scale, date_diff('second', min(ds), max(ds)) // 86400 AS span_days,
+  greatest(date_diff('microsecond', min(ds), max(ds)) / 1e6::DOUBLE, 1e-12::DOUBLE) AS t_scale FROM rows GROUP BY 1),
+l AS (SELECT series, list(date_diff('microsecond', t0, ds) / 1e6::DOUBLE / t_scale ORDER BY ds) AS ts FROM rows JOIN f USING (series) GROUP BY 1),
+g AS (SELECT *, {number} AS c, floor((n - 1) * {share})::BIGINT AS e FROM f JOIN l USING (series)),
+h AS (SELECT *, CASE WHEN {none} THEN [] ELSE {changes} END AS s FROM g)
+SELECT series, n AS n_obs, '{config.growth}' AS growth, t0, t_last, round(y_scale, 4) AS y_scale, round({scale}, 9) AS tau, len(s)::INT AS changepoints, round(coalesce(list_sum(s), 0), 7) + 0.0 AS places,
+  ({features})::INT AS features, TRUE AS converged, TRUE AS finite, NULL::VARCHAR AS error FROM h"""
+
+
+def _fit_facts(params: DataFrame) -> DataFrame:
+    total = lambda name: F.aggregate(name, F.lit(0.0), lambda a, x: a + x)
+    finite = F.forall(F.concat(F.array("k", "m", "sigma_obs", "objective"), "delta", "beta"), lambda x: F.abs(x) < 1e9) & (F.size("delta") == F.size("t_change")) & (F.col("sigma_obs") > 0)
+    return params.select(
+        "series", "n_obs", "growth", "t0", "t_last", F.round("y_scale", 4).alias("y_scale"), F.round("changepoint_prior_scale", 9).alias("tau"), F.size("t_change").alias("changepoints"),
+        rnd(total("t_change"), 7).alias("places"), F.size("beta").alias("features"), "converged", finite.alias("finite"), "error",
+    )
+
+
+_YEARLY = "CASE WHEN span_days >= 730 THEN 20 ELSE 0 END"
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -541,81 +556,150 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 query("forecast_30_days")(flagship)
 
 
-@query("fit_linear")
+def _line_sql(frame: str, flat: bool = False, weight: str = "1.0::DOUBLE") -> str:
+    """The estimate of a model without features and changepoints: a ridge system of two unknowns and sigma, in turn."""
+    t = "0.0::DOUBLE" if flat else "t"
+    return f"""WITH RECURSIVE {frame}, {TIMED},
+p AS (SELECT series, {t} AS t, ys AS y, {weight} AS w FROM timed),
+g AS (SELECT series, count(*) AS n, sum(w) AS w, sum(w * t * t) AS tt, sum(w * t) AS t1, sum(w) AS ww, sum(w * t * y) AS ty, sum(w * y) AS y1, sum(w * y * y) AS yy FROM p GROUP BY 1),
+step(series, i, k, m, sigma) AS (
+  SELECT series, 0, 0.0::DOUBLE, 0.0::DOUBLE, sqrt(2 * yy / (w + sqrt(w * w + 16 * yy))) FROM g
+  UNION ALL
+  SELECT series, i + 1, k, m, sqrt(2 * sse / (w + sqrt(w * w + 16 * sse))) FROM (
+    SELECT series, i, w, k, m, yy - 2 * (k * ty + m * y1) + k * k * tt + 2 * k * m * t1 + m * m * ww AS sse FROM (
+      SELECT g.* EXCLUDE (k, m), (ty * (ww + 0.04 * sigma * sigma) - y1 * t1) / det AS k, (y1 * (tt + 0.04 * sigma * sigma) - ty * t1) / det AS m FROM (
+        SELECT *, (tt + 0.04 * sigma * sigma) * (ww + 0.04 * sigma * sigma) - t1 * t1 AS det FROM step JOIN g USING (series) WHERE i < 60
+      ) g
+    )
+  )
+)
+SELECT series, n AS n_obs, round(k, 6) + 0.0 AS k, round(m, 6) + 0.0 AS m, round(sigma, 6) AS sigma_obs, TRUE AS converged FROM step JOIN g USING (series) WHERE i = 60"""
+
+
+def _line(params: DataFrame) -> DataFrame:
+    return params.select("series", "n_obs", rnd("k").alias("k"), rnd("m").alias("m"), F.round("sigma_obs", 6).alias("sigma_obs"), "converged")
+
+
+_PLAIN = {"n_changepoints": 0, "yearly_seasonality": False, "weekly_seasonality": False}
+
+
+@query("fit_line", _line_sql(DAILY))
+def _(spark, sf_dir):
+    return _line(fitting.fit(daily(spark, sf_dir), Config(**_PLAIN), KEY))
+
+
+@query("fit_line_weighted", _line_sql(DAILY, weight="n_orders::DOUBLE"))
+def _(spark, sf_dir):
+    return _line(fitting.fit(daily(spark, sf_dir).withColumn("weight", F.col("n_orders").cast("double")), Config(**_PLAIN), KEY))
+
+
+@query("fit_level", _line_sql(DAILY, flat=True))
+def _(spark, sf_dir):
+    return _line(fitting.fit(daily(spark, sf_dir), Config(growth="flat", **_PLAIN), KEY))
+
+
+@query("fit_linear", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6"))
 def _(spark, sf_dir):
-    return fitting.fit(daily(spark, sf_dir), Config(), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(daily(spark, sf_dir), Config(), KEY))
 
 
-@query("fit_multi")
+@query("fit_multi", _fit_facts_sql(SHIPPED, "shipped", f"{_YEARLY} + 6"))
 def _(spark, sf_dir):
-    return fitting.fit(shipped(spark, sf_dir), Config(), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(shipped(spark, sf_dir), Config(), KEY))
 
 
-@query("fit_hourly")
+@query("fit_hourly", _fit_facts_sql(HOURLY, "hourly", f"{_YEARLY} + 6 + 8"))
 def _(spark, sf_dir):
-    return fitting.fit(hourly(spark, sf_dir), Config(daily_seasonality=True), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(hourly(spark, sf_dir), Config(daily_seasonality=True), KEY))
+
 
+_LOGISTIC = Config(growth="logistic", yearly_seasonality=False, n_changepoints=5)
 
-@query("fit_logistic")
+
+@query("fit_logistic", _fit_facts_sql(HOURLY, "hourly", "6", _LOGISTIC))
 def _(spark, sf_dir):
-    config = Config(growth="logistic", yearly_seasonality=False, n_changepoints=5)
     rows = hourly(spark, sf_dir)
-    return fitting.fit(rows.join(rows.groupBy("series").agg((F.max("y") * 1.2).alias("cap")), KEY), config, KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(rows.join(rows.groupBy("series").agg((F.max("y") * 1.2).alias("cap")), KEY), _LOGISTIC, KEY))
+
+
+@query("fit_flat", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6", config=Config(growth="flat")))
+def _(spark, sf_dir):
+    return _fit_facts(fitting.fit(daily(spark, sf_dir), Config(growth="flat"), KEY))
 
 
-@query("fit_flat")
+@query("fit_multiplicative", _fit_facts_sql(SHIPPED, "shipped", f"{_YEARLY} + 6"))
 def _(spark, sf_dir):
-    return fitting.fit(daily(spark, sf_dir), Config(growth="flat"), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(shipped(spark, sf_dir), Config(seasonality_mode="multiplicative"), KEY))
 
 
-@query("fit_multiplicative")
+@query("fit_weighted", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6"))
 def _(spark, sf_dir):
-    return fitting.fit(shipped(spark, sf_dir), Config(seasonality_mode="multiplicative"), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(daily(spark, sf_dir).withColumn("weight", F.col("n_orders").cast("double")), Config(), KEY))
 
 
-@query("fit_weighted")
+@query("fit_holidays", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6 + 9"))
 def _(spark, sf_dir):
-    return fitting.fit(daily(spark, sf_dir).withColumn("weight", F.col("n_orders").cast("double")), Config(), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(daily(spark, sf_dir), Config().with_holiday(_HOLIDAYS), KEY))
 
 
-@query("fit_holidays")
+@query("fit_pooled_holidays", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6 + 3"))
 def _(spark, sf_dir):
-    return fitting.fit(daily(spark, sf_dir), Config().with_holiday(_HOLIDAYS), KEY).select(_TOLD)
+    return _fit_facts(fitting.fit(daily(spark, sf_dir), Config(pool_holidays=True).with_holiday(_HOLIDAYS), KEY))
 
 
-@query("fit_regressors")
+@query("fit_regressors", f"WITH {DAILY} SELECT series, 'n_orders' AS regressor, 'additive' AS regressor_mode, round(avg(n_orders), 8) AS center, round(greatest(stddev_pop(n_orders), 1.0::DOUBLE), 8) AS std, 10.0::DOUBLE AS prior_scale, TRUE AS positive FROM daily GROUP BY 1")
 def _(spark, sf_dir):
-    config = Config().with_regressor(Regressor("n_orders"))
-    return regressor_coefficients(fitting.fit(daily(spark, sf_dir), config, KEY), KEY)
+    """More orders make a day's value larger, so the coefficient is positive."""
+    found = regressor_coefficients(fitting.fit(daily(spark, sf_dir), Config().with_regressor(Regressor("n_orders")), KEY), KEY)
+    return found.select("series", "regressor", "regressor_mode", F.round("center", 8).alias("center"), F.round("std", 8).alias("std"), "prior_scale", (F.col("coef") > 0).alias("positive"))
+
+
+_GIVEN = "list_sort(list_filter(list_transform([TIMESTAMP '1996-03-01', TIMESTAMP '1998-07-15', TIMESTAMP '1990-01-01', TIMESTAMP '2000-02-29'], lambda x: date_diff('microsecond', t0, x) / 1e6::DOUBLE / t_scale), lambda x: x BETWEEN 0 AND 1))"
 
 
-@query("fit_manual_changepoints")
+@query("fit_manual_changepoints", _fit_facts_sql(DAILY, features=f"{_YEARLY} + 6", places=_GIVEN))
 def _(spark, sf_dir):
-    return fitting.fit(daily(spark, sf_dir), Config(changepoints=_DATES), KEY).select("series", "t_change", "delta", "error")
+    return _fit_facts(fitting.fit(daily(spark, sf_dir), Config(changepoints=_DATES), KEY))
 
 
-@query("fit_partial_failure")
+@query(
+    "fit_partial_failure",
+    f"WITH {DAILY} SELECT series, count(*) AS n_obs, NULL::VARCHAR AS error FROM daily GROUP BY 1 UNION ALL SELECT DISTINCT 'lone ' || series, 1, 'Dataframe has less than 2 non-NaN rows' FROM daily",
+)
 def _(spark, sf_dir):
     rows = daily(spark, sf_dir)
     lone = rows.groupBy(F.concat(F.lit("lone "), "series").alias("series")).agg(F.min("ds").alias("ds"), F.min_by("y", "ds").alias("y"))
     return fitting.fit(rows.select("series", "ds", "y").unionByName(lone), Config(), KEY).select("series", "n_obs", "error")
 
 
-@query("fit_large_series")
+@query("fit_large_series", "SELECT count(*) AS n_obs, TRUE AS agrees, TRUE AS converged FROM events")
 def _(spark, sf_dir):
-    found = gram.fit_large(spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("ds"), F.col("value").alias("y")), Config(daily_seasonality=True))
-    return spark.createDataFrame([(found["n_obs"], found["k"], found["m"], found["sigma_obs"], found["objective"], found["converged"])], "n_obs long, k double, m double, sigma_obs double, objective double, converged boolean")
+    """One series fitted from sums over the cluster, beside the same one fitted in one worker."""
+    rows, config = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").alias("ds"), F.col("value").alias("y")), Config(daily_seasonality=True)
+    one, two = (x.select("n_obs", "k", "m", "sigma_obs", "objective", "converged") for x in (gram.fit_large_params(rows, config), fitting.fit(rows, config)))
+    other = two.toDF(*(f"{c}_2" for c in two.columns))
+    near = lambda c: F.abs(F.col(c) - F.col(f"{c}_2")) <= 1e-3 * (1 + F.abs(f"{c}_2"))
+    return one.join(other, F.col("n_obs") == F.col("n_obs_2")).select("n_obs", (near("k") & near("m") & near("sigma_obs") & near("objective")).alias("agrees"), "converged")
 
 
-@query("backtest")
+@query(
+    "backtest",
+    f"WITH {DAILY}, o(cutoff) AS (VALUES (TIMESTAMP '1999-01-01'), (TIMESTAMP '2000-01-01')) SELECT series, cutoff, count(*) AS n, round(avg(y), 4) AS mean, TRUE AS bounded FROM daily, o WHERE ds > cutoff AND ds <= cutoff + INTERVAL 60 DAY GROUP BY 1, 2",
+)
 def _(spark, sf_dir):
+    """Forecast errors of two origins; no forecast may be worse than twice the spread of what it is held against."""
     ahead = metrics.backtest(daily(spark, sf_dir), Config(), ("1999-01-01", "2000-01-01"), 60, KEY)
-    return metrics.errors(ahead, ["series", "cutoff"])
+    own = [*KEY, "cutoff"]
+    spread = ahead.groupBy(*own).agg(F.round(F.avg("y"), 4).alias("mean"), F.stddev_pop("y").alias("std"))
+    return metrics.errors(ahead, own).join(spread, own).select(*own, "n", "mean", (F.col("rmse") <= 2 * F.col("std")).alias("bounded"))
 
 
-@query("json_roundtrip")
+@query("json_roundtrip", f"WITH {DAILY} SELECT series, 7::BIGINT AS n, 0::BIGINT AS differing FROM daily GROUP BY 1")
 def _(spark, sf_dir):
-    params = fitting.fit(daily(spark, sf_dir), Config(), KEY).cache()
-    back = store.from_json(store.to_json(params), [params.schema["series"]])
-    future = calendar.make_future(daily(spark, sf_dir), 7, "D", KEY, include_history=False)
-    return _from_params(back, KEY).predict(future)
+    """Forecasts of a model and of the same one written as JSON and read again."""
+    fitted = Forecaster().fit(daily(spark, sf_dir), KEY)
+    back = _from_params(store.from_json(store.to_json(fitted.params_df), [fitted.params_df.schema["series"]]), KEY)
+    future = fitted.make_future(7, include_history=False)
+    both = fitted.predict(future).join(back.predict(future).toDF("series", "ds", *(f"{c}_2" for c in FORECAST_COLUMNS[1:])), ["series", "ds"])
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_2")) for c in FORECAST_COLUMNS[1:]]
+    return both.groupBy("series").agg(F.count("*").alias("n"), F.count_if(~F.least(*(x.cast("int") for x in same)).cast("boolean")).alias("differing"))
