@@ -100,6 +100,8 @@ class Config:
     holidays: tuple[Holiday, ...] = field(default=())
     regressors: tuple[Regressor, ...] = field(default=())
     countries: tuple[str, ...] = field(default=())
+    #: Whether all occurrences of a holiday share one effect for each day of its window, so that later ones get it too.
+    pool_holidays: bool = False
 
     def __post_init__(self):
         if str(self.growth).lower() not in GROWTHS:
@@ -174,10 +176,13 @@ def z_score(width: float) -> float:
     return (low + high) / 2
 
 
+#: Rows from which a tier holds, its most changepoints and largest prior scale.
+TIERS = ((75_000, 10, 0.02), (25_000, 15, 0.03), (10_000, 20, 0.04))
+
+
 def adaptive_settings(n_obs: int, n_changepoints: int, prior_scale: float) -> tuple[int, float]:
     """Fewer and stiffer changepoints for long series."""
-    # Rows from which a tier holds, its most changepoints and largest prior scale.
-    for rows, most, scale in ((75_000, 10, 0.02), (25_000, 15, 0.03), (10_000, 20, 0.04)):
+    for rows, most, scale in TIERS:
         if n_obs >= rows:
             return min(n_changepoints, most), min(prior_scale, scale)
     return n_changepoints, prior_scale

@@ -55,12 +55,25 @@ def dot(terms: list[Column], beta: Column) -> Column:
     return total
 
 
-def holiday_terms(ds: Column, dates: tuple[str, ...], lower: int, upper: int) -> list[Column]:
-    """An indicator for each date and day of its window; the time of day does not count."""
+def holiday_terms(ds: Column, dates: tuple[str, ...], lower: int, upper: int, pooled: bool = False) -> list[Column]:
+    """An indicator for each date and day of its window, or for each day of the window of any date; the time of day does not
+    count."""
     day = ds.cast("date")
+    if pooled:
+        return [F.when(F.date_sub(day, offset).isin(*(F.lit(date).cast("date") for date in dates)), 1.0).otherwise(0.0) for offset in range(lower, upper + 1)] if dates else []
     return [F.when(F.datediff(day, F.lit(date).cast("date")) == offset, 1.0).otherwise(0.0) for date in dates for offset in range(lower, upper + 1)]
 
 
+def changepoint_row(t: Column, t_change: Column) -> Column:
+    """A row of the changepoint matrix: 1 for each changepoint up to t."""
+    return F.transform(t_change, lambda s: F.when(t >= s, 1.0).otherwise(0.0))
+
+
+def design_row(*blocks: list[Column]) -> Column:
+    """A row of the design matrix: the columns of all blocks side by side."""
+    return F.array(*(column for block in blocks for column in block))
+
+
 def active(t: Column, t_change: Column) -> Column:
     """Number of changepoints up to t, whatever order they stand in."""
     return F.size(F.filter(t_change, lambda s: s <= t))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,16 +12,24 @@ from pyspark.sql import types as T
 
 from tidemark.config import Config, Holiday, Regressor, Seasonality, as_dates
 from tidemark.errors import DataValidationError, PredictionError
-from tidemark.operators import calendar, fitting, predicting, prepare
-from tidemark.sources import store
+from tidemark.operators import calendar, fitting, gram, predicting, prepare
+from tidemark.schema import PARAMS
+from tidemark.sources import io, store
+
+#: Bytes (as planned) and rows beyond which a single series is not gathered in one worker.
+LARGE_BYTES, LARGE_ROWS = 64 << 20, 1_000_000
+
+
+def _planned_bytes(df: DataFrame) -> int:
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
 class Forecaster:
     """Options as in :class:`tidemark.config.Config`; ``uncertainty_samples`` is accepted and has no effect."""
 
-    def __init__(self, growth: str = "linear", n_changepoints: int = 15, changepoint_range: float = 0.8, changepoint_prior_scale: float = 0.05, yearly_seasonality: bool = True, weekly_seasonality: bool = True, daily_seasonality: bool = False, seasonality_mode: str = "additive", interval_width: float = 0.8, uncertainty_samples: int = 1000, changepoints: Sequence | None = None):
+    def __init__(self, growth: str = "linear", n_changepoints: int = 15, changepoint_range: float = 0.8, changepoint_prior_scale: float = 0.05, yearly_seasonality: bool = True, weekly_seasonality: bool = True, daily_seasonality: bool = False, seasonality_mode: str = "additive", interval_width: float = 0.8, uncertainty_samples: int = 1000, changepoints: Sequence | None = None, pool_holidays: bool = False):
         del uncertainty_samples
-        self.config = Config(growth, n_changepoints, changepoint_range, changepoint_prior_scale, yearly_seasonality, weekly_seasonality, daily_seasonality, seasonality_mode, interval_width, None if changepoints is None else tuple(changepoints))
+        self.config = Config(growth, n_changepoints, changepoint_range, changepoint_prior_scale, yearly_seasonality, weekly_seasonality, daily_seasonality, seasonality_mode, interval_width, None if changepoints is None else tuple(changepoints), pool_holidays=pool_holidays)
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}(growth={self.config.growth!r}, n_changepoints={self.config.n_changepoints})"
@@ -60,13 +69,25 @@ class Forecaster:
     def get_condition_names(self) -> list[str]:
         return [x.condition_name for x in self.config.seasonalities if x.condition_name]
 
-    def fit(self, df: DataFrame, keys: Sequence[str] = ()) -> FittedForecaster:
-        """Fits each series.  A single series that cannot be fitted raises; of many, each failure is a row."""
+    def fit(self, df, keys: Sequence[str] = ()) -> FittedForecaster:
+        """Fits each series of a Spark, pandas or polars frame.
+
+        A single series that cannot be fitted raises; of many, each failure is a row.  A single series that may not fit one
+        worker (by the planner's estimate of its bytes, then by its rows) is fitted from sums over the cluster, where the
+        model allows it.
+        """
+        df = io.as_frame(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), df)
         rows = prepare.coerce(df, self.config, keys)
+        if not keys and gram.is_exact(self.config) and _planned_bytes(rows) > LARGE_BYTES and rows.count() > LARGE_ROWS:
+            try:
+                return FittedForecaster(self.config, gram.fit_large_params(df, self.config), rows, keys, n_success=1)
+            except ValueError as error:
+                raise DataValidationError(str(error)) from error
         params = fitting.fit(df, self.config, keys).cache()  # the fit is what costs; later actions read it
         fitted = FittedForecaster(self.config, params, rows, keys)
         if not keys:
             row = params.first()
+            fitted.n_success = 1
             if row is None:
                 raise DataValidationError("Dataframe has less than 2 non-NaN rows")
             if row["error"] is not None:
@@ -75,8 +96,10 @@ class Forecaster:
 
 
 class FittedForecaster:
-    def __init__(self, config: Config, params: DataFrame, history: DataFrame | None, keys: Sequence[str] = ()):
+    def __init__(self, config: Config, params: DataFrame, history: DataFrame | None, keys: Sequence[str] = (), n_success: int | None = None):
         self.config, self.params_df, self.history, self.keys = config, params, history, list(keys)
+        if n_success is not None:
+            self.n_success = n_success
 
     def __repr__(self) -> str:
         return f"{type(self).__name__}(growth={self.config.growth!r}, keys={self.keys!r})"
@@ -85,7 +108,11 @@ class FittedForecaster:
     def errors_df(self) -> DataFrame:
         return self.params_df.filter(F.col("error").isNotNull()).select(*self.keys, "error")
 
-    @property
+    def unpersist(self) -> None:
+        """Give back the memory that the params take; they are fitted anew if they are used again."""
+        self.params_df.unpersist()
+
+    @cached_property
     def n_success(self) -> int:
         return self.params_df.filter(F.col("error").isNull()).count()
 
@@ -134,7 +161,9 @@ class FittedForecaster:
             if self.history is None:
                 raise PredictionError("A loaded model has no training rows")
             df = self.history
-        return predicting.predict(prepare.coerce(df, self.config, self.keys, training=False), self.params_df, self.config, self.keys)
+        df = io.as_frame(self.params_df.sparkSession, df)
+        small = predicting.is_small(self.n_success, self.config)
+        return predicting.predict(prepare.coerce(df, self.config, self.keys, training=False), self.params_df, self.config, self.keys, small)
 
     def regressor_coefficients(self) -> DataFrame:
         if not self.config.regressors:
@@ -167,7 +196,12 @@ def _from_params(params: DataFrame, keys: Sequence[str]) -> FittedForecaster:
 
 
 def load(spark: SparkSession, path: str, keys: Sequence[str] = (), format: str = "parquet", key_fields: Sequence[T.StructField] = ()) -> FittedForecaster:
-    return _from_params(store.load(spark, path, format, key_fields), keys)
+    """A stored model; without ``keys``, its key columns are those that the params table has besides its own."""
+    params = store.load(spark, path, format, key_fields)
+    found = [name for name in params.columns if name not in PARAMS.names]
+    if keys and set(keys) != set(found):
+        raise DataValidationError(f"the stored model is keyed by {found}, not by {list(keys)}")
+    return _from_params(params, keys or found)
 
 
 def from_json(spark: SparkSession, text: str, key_fields: Sequence[T.StructField] = ()) -> FittedForecaster:

@@ -39,9 +39,11 @@ def fourier(days: np.ndarray, period: float, order: int) -> np.ndarray:
     return np.stack([np.sin(angle), np.cos(angle)], axis=2).reshape(len(days), 2 * order)
 
 
-def holiday_columns(ds: np.ndarray, dates: Sequence[str], lower: int, upper: int) -> np.ndarray:
+def holiday_columns(ds: np.ndarray, dates: Sequence[str], lower: int, upper: int, pooled: bool = False) -> np.ndarray:
     day = ds // DAY
     starts = [np.datetime64(date, "D").astype(np.int64) for date in dates]
+    if pooled and starts:
+        return np.column_stack([np.isin(day - offset, starts).astype(float) for offset in range(lower, upper + 1)])
     return np.column_stack([(day - start == offset).astype(float) for start in starts for offset in range(lower, upper + 1)] or [np.zeros((len(ds), 0))])
 
 
@@ -65,7 +67,7 @@ def design(pdf: pd.DataFrame, ds: np.ndarray, t0: int, config: Config, span_days
             cols = cols * pdf[x.condition_name].fillna(False).to_numpy(bool)[:, None]
         blocks.append((empty | {"kind": "seasonality", "name": x.name, "mode": x.mode, "period": float(x.period), "fourier_order": x.fourier_order, "prior_scale": float(x.prior_scale), "condition": x.condition_name}, cols))
     for x in config.holidays:
-        cols = holiday_columns(ds, x.dates, x.lower_window, x.upper_window)
+        cols = holiday_columns(ds, x.dates, x.lower_window, x.upper_window, config.pool_holidays)
         blocks.append((empty | {"kind": "holiday", "name": x.name, "mode": x.mode, "prior_scale": float(x.prior_scale), "lower_window": x.lower_window, "upper_window": x.upper_window, "dates": list(x.dates)}, cols))
     for x in config.regressors:
         raw = pdf[x.name].to_numpy(float)

@@ -10,11 +10,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark import __version__
 from tidemark.config import Config, adaptive_settings
 from tidemark.operators import fitting, prepare, solver
+from tidemark.schema import PARAMS
 from tidemark.sources.shipping import ship
 
 
@@ -28,31 +30,56 @@ def normal_equations(df: DataFrame, terms: list[str], y: str = "y", weight: str
     return sums.select(F.inline(stacked))
 
 
+def order_statistics(rows: DataFrame, places: list[int]) -> list[int]:
+    """The ds (in microseconds) at each of ``places`` of the rows by ds, from counts by ever finer units of time.
+
+    Rows are only counted, nothing is sorted; of each unit, only those parts that hold a place come to the driver.
+    """
+    at = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01").cast("timestamp_ntz"), F.col("ds"))
+    before, inside = {None: 0}, {None: list(places)}  # of each unit that holds places: rows before it, the places
+    last = None
+    for unit in (fitting.DAY, 60_000_000, 1_000_000, 1_000, 1):
+        own = rows.select(F.floor(at / F.lit(unit)).alias("unit") if unit > 1 else at.alias("unit"))
+        if last is not None:
+            own = own.filter(F.floor(F.col("unit") / F.lit(last // unit)).isin(list(inside)))
+        counts = own.groupBy("unit").agg(F.count("*").alias("n")).orderBy("unit").toPandas()
+        parent = (counts["unit"] // (last // unit)).to_numpy() if last is not None else np.zeros(len(counts))
+        found_before, found_inside = {}, {}
+        for key, held in inside.items():
+            group = counts[parent == key] if key is not None else counts
+            upto = before[key] + group["n"].cumsum().to_numpy()
+            for place in held:
+                row = int(np.searchsorted(upto, place, side="right"))
+                name = int(group["unit"].iloc[row])
+                found_before[name] = int(upto[row - 1]) if row else before[key]
+                found_inside.setdefault(name, []).append(place)
+        before, inside, last = found_before, found_inside, unit
+    by_place = {place: name for name, held in inside.items() for place in held}
+    return [by_place[place] for place in places]
+
+
 def changepoint_times(rows: DataFrame, n: int, count: int, share: float, t0: int, span: float) -> np.ndarray:
-    """Scaled times at the places of automatic changepoints, from counts by day: no global sort of the rows."""
+    """Scaled times at the places of automatic changepoints."""
     wanted = fitting.places(n, count, share)
-    if not wanted:
-        return np.zeros(0)
-    days = rows.groupBy(F.col("ds").cast("date").alias("day")).agg(F.count("*").alias("n")).orderBy("day").toPandas()  # one row for each day
-    upto = days["n"].cumsum().to_numpy()
-    found = []
-    for day_at, group in pd.Series(wanted).groupby(np.searchsorted(upto, wanted, side="right")):
-        before = int(upto[day_at - 1]) if day_at else 0
-        day = rows.filter(F.col("ds").cast("date") == F.lit(days["day"][day_at]))
-        ranked = day.select("ds", (F.row_number().over(Window.orderBy("ds")) - 1 + before).alias("place"))
-        found += [row["ds"] for row in ranked.filter(F.col("place").isin([int(p) for p in group])).collect()]
-    return np.unique([(fitting.micros(pd.Series([ds]))[0] - t0) / 1e6 / span for ds in found])
+    return np.unique([(v - t0) / 1e6 / span for v in order_statistics(rows, wanted)]) if wanted else np.zeros(0)
+
+
+def is_exact(config: Config) -> bool:
+    """Whether the normal equations of the model are fixed: linear or flat trend, additive features."""
+    return config.growth != "logistic" and "multiplicative" not in {x.mode for x in (*config.all_seasonalities(), *config.holidays, *config.regressors)}
 
 
 def fit_large(df: DataFrame, config: Config) -> dict:
     """The params of a single series of any length (a dict as of :func:`fitting.fit_series`)."""
-    if config.growth == "logistic" or "multiplicative" in {x.mode for x in (*config.all_seasonalities(), *config.holidays, *config.regressors)}:
+    if not is_exact(config):
         raise ValueError("only linear or flat trends with additive features have fixed normal equations")
     ship(df.sparkSession)
     rows = prepare.drop_null_y(prepare.coerce(df, config))
     facts = prepare.scales(rows, []).first()
     if facts is None or facts["n_obs"] < 2:
         raise ValueError("Dataframe has less than 2 non-NaN rows")
+    if "weight" in rows.columns and (bad := prepare.series_checks(rows, []).first()) is not None and bad["negative_weight"]:
+        raise ValueError("weights must be non-negative")
     t0, span, y_scale, n = int(fitting.micros(pd.Series([facts["t0"]]))[0]), facts["t_scale"], facts["y_scale"], facts["n_obs"]
     count, tau = adaptive_settings(n, config.n_changepoints, config.changepoint_prior_scale) if config.changepoints is None else (0, config.changepoint_prior_scale)
     if config.changepoints is not None:
@@ -96,4 +123,17 @@ def fit_large(df: DataFrame, config: Config) -> dict:
     for f in features:
         if f["kind"] == "regressor":
             f["mu"], f["std"] = fixed[f["name"]]
-    return {"t0": facts["t0"], "t_scale": span, "y_scale": y_scale, "t_change": s.tolist(), "k": float(theta[0]), "m": float(theta[1]), "delta": theta[2 : 2 + len(s)].tolist(), "beta": theta[2 + len(s) :].tolist(), "sigma_obs": sigma, "features": features, "n_obs": n, "objective": value, "n_iter": steps, "converged": done}
+    last = rows.agg(*(F.max_by(F.coalesce(F.col(c), F.lit(default)), "ds").alias(c) for c, default in (("cap", 1e9), ("floor", 0.0)) if c in rows.columns)).first().asDict() if {"cap", "floor"} & set(rows.columns) else {}
+    return {
+        "growth": config.growth, "n_changepoints": int(count) if config.changepoints is None else len(s), "changepoint_range": config.changepoint_range, "changepoint_prior_scale": float(tau),
+        "seasonality_mode": config.seasonality_mode, "interval_width": config.interval_width, "t0": facts["t0"], "t_last": facts["t_last"], "t_scale": span, "y_scale": y_scale,
+        "logistic_floor": "floor" in rows.columns, "last_cap": last.get("cap"), "last_floor": last.get("floor"), "t_change": s.tolist(), "k": float(theta[0]), "m": float(theta[1]),
+        "delta": theta[2 : 2 + len(s)].tolist(), "gamma": [], "beta": theta[2 + len(s) :].tolist(), "sigma_obs": float(sigma), "features": features, "n_obs": n,
+        "converged": bool(done), "n_iter": int(steps), "objective": float(value), "error": None, "config": config.to_json(), "version": __version__,
+    }
+
+
+def fit_large_params(df: DataFrame, config: Config) -> DataFrame:
+    """The params table (one row) of a single series of any length."""
+    row = fit_large(df, config)
+    return df.sparkSession.createDataFrame([tuple(row[name] for name in PARAMS.names)], PARAMS)

@@ -33,6 +33,6 @@ def backtest(df: DataFrame, config: Config, cutoffs: Sequence[str], horizon_days
     dealt = rows.withColumn("cutoff", F.explode(origins))
     history = dealt.filter(F.col("ds") <= F.col("cutoff"))
     window = dealt.filter((F.col("ds") > F.col("cutoff")) & (F.col("ds") <= F.col("cutoff") + F.make_dt_interval(F.lit(horizon_days))))
-    params = fitting.fit(history, config, own).cache()
-    ahead = predicting.predict(window, params, config, own)
+    params = fitting.fit(history, config, own)  # read once, so not kept; a row for each series and cutoff
+    ahead = predicting.predict(window, params, config, own, small=False)
     return ahead.select(*own, "ds", "yhat").join(window.select(*own, "ds", "y"), [*own, "ds"])

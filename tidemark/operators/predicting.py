@@ -8,11 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.config import Config, z_score
+from tidemark.errors import DataValidationError
 from tidemark.functions import expressions as X
-from tidemark.schema import FORECAST_COLUMNS
+from tidemark.schema import FORECAST_COLUMNS, PARAMS
 
-#: Params rows up to which they are broadcast (each holds some kilobytes).
-MOST_BROADCAST = 20_000
+#: Params rows, and estimated bytes of them, up to which they are broadcast.
+MOST_BROADCAST, BROADCAST_BYTES = 20_000, 128 << 20
+
+
+def is_small(rows: int, config: Config) -> bool:
+    """Whether so many params rows may be broadcast: each holds numbers for all features, holiday dates and changepoints."""
+    numbers = 40 + 4 * config.n_changepoints + sum(2 * x.fourier_order for x in config.all_seasonalities()) + sum(3 * x.width * max(1, len(x.dates)) for x in config.holidays) + 4 * len(config.regressors)
+    return rows <= MOST_BROADCAST and 8 * rows * numbers <= BROADCAST_BYTES
 
 
 def _block(kind: str, name: str) -> Column:
@@ -69,7 +76,7 @@ def forecast(joined: DataFrame, config: Config, keys: Sequence[str], z: float |
             value = F.when(F.col(f"`{x.condition_name}`"), value).otherwise(zero)
         parts.append((x.name, x.mode, value))
     for x in config.holidays:
-        parts.append((f"holiday {x.name}", x.mode, F.coalesce(X.dot(X.holiday_terms(F.col("ds"), x.dates, x.lower_window, x.upper_window), F.col(f"`_holiday_{x.name}`")), zero)))
+        parts.append((f"holiday {x.name}", x.mode, F.coalesce(X.dot(X.holiday_terms(F.col("ds"), x.dates, x.lower_window, x.upper_window, config.pool_holidays), F.col(f"`_holiday_{x.name}`")), zero)))
     for x in config.regressors:
         scaled = (F.col(f"`{x.name}`") - F.col(f"`_mu_{x.name}`")) / F.col(f"`_std_{x.name}`")
         parts.append((f"regressor {x.name}", x.mode, scaled * F.get(F.col(f"`_regressor_{x.name}`"), F.lit(0))))
@@ -98,14 +105,16 @@ def forecast(joined: DataFrame, config: Config, keys: Sequence[str], z: float |
 def predict(rows: DataFrame, params: DataFrame, config: Config, keys: Sequence[str] = (), small: bool | None = None) -> DataFrame:
     """Forecasts of ``rows`` (coerced); series without params give no rows.
 
-    ``small``: whether the params are known to be at most MOST_BROADCAST rows; None asks the table.
+    ``small``: whether the params are known to be at most MOST_BROADCAST rows and BROADCAST_BYTES; None asks the table.
     """
     keys = list(keys)
+    if missing := [c for c in params.columns if c not in PARAMS.names and c not in keys]:
+        raise DataValidationError(f"the params are of series keyed by {missing}; give these as keys")
     ready = prepared(params, config, keys)
     if not keys:
         return forecast(rows.crossJoin(F.broadcast(ready)), config, keys, _z(config))  # one row of params
     if small is None:
-        small = len(params.select(*keys).limit(MOST_BROADCAST + 1).collect()) <= MOST_BROADCAST
+        small = is_small(params.limit(MOST_BROADCAST + 1).count(), config)
     return forecast(rows.join(F.broadcast(ready) if small else ready, keys), config, keys, _z(config))
 
 

@@ -7,9 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.config import Config
+from tidemark.config import TIERS, Config
 from tidemark.errors import DataValidationError
 from tidemark.functions import expressions as X
+from tidemark.operators import starts
 from tidemark.schema import FORECAST_COLUMNS, PARAMS
 
 RESERVED = {*PARAMS.names, *FORECAST_COLUMNS, "y", "cap", "floor", "weight"}
@@ -141,10 +142,8 @@ def manual_changepoints(scaled: DataFrame, keys: Sequence[str], dates: Sequence[
 
 def adaptive(n_obs: Column, count: int, scale: float) -> tuple[Column, Column]:
     """Number of changepoints and prior scale after tuning by length, as columns."""
-    # Rows from which a tier holds, its most changepoints and largest prior scale.
-    tiers = ((75_000, 10, 0.02), (25_000, 15, 0.03), (10_000, 20, 0.04))
     n, tau = F.lit(count), F.lit(float(scale))
-    for rows, most, largest in reversed(tiers):
+    for rows, most, largest in reversed(TIERS):
         n, tau = F.when(n_obs >= rows, min(count, most)).otherwise(n), F.when(n_obs >= rows, min(scale, largest)).otherwise(tau)
     return n, tau
 
@@ -158,6 +157,42 @@ def ends(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(*own)
 
 
+def y_stats(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Mean and population deviation of the scaled y of each series; the mean is the level of a flat trend."""
+    return df.groupBy(*keys).agg(F.avg("ys").alias("mean"), F.stddev_pop("ys").alias("std"))
+
+
+def total_weight(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The sum of weights of each series; a missing weight is 1."""
+    weight = F.coalesce("weight", F.lit(1.0)) if "weight" in df.columns else F.lit(1.0)
+    return df.groupBy(*keys).agg(F.sum(weight).alias("weight"))
+
+
+def sigma_start(df: DataFrame, keys: Sequence[str], trend: Column) -> DataFrame:
+    """The bounded deviation of the scaled y from ``trend``."""
+    low, high = map(F.lit, starts.SIGMA_BOUNDS)
+    return df.groupBy(*keys).agg(F.least(F.greatest(F.stddev_pop(F.col("ys") - trend), low), high).alias("sigma"))
+
+
+def delta_start(df: DataFrame, keys: Sequence[str], t_change: Sequence[float]) -> DataFrame:
+    """(keys, j, delta) of rows (keys, ds, t, ys): the slope after each changepoint less that before it, bounded."""
+    keys = list(keys)
+    w = Window.partitionBy(*keys).orderBy("ds")
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    n = F.count("*").over(Window.partitionBy(*keys))
+    size = F.least(F.greatest(F.floor(F.col("n") / starts.WINDOW_SHARE), F.lit(starts.WINDOW[0])), F.lit(starts.WINDOW[1]))
+    rows = df.select(*keys, "t", "ys", (F.row_number().over(w) - 1).alias("i"), n.alias("n"), (F.last("ys").over(whole) - F.first("ys").over(whole)).alias("k")).withColumn("w", size)
+    points = rows.select(*keys, "i", "t", "ys")
+    places = F.array(*(F.struct(F.lit(j).alias("j"), F.lit(s).alias("s")) for j, s in enumerate(t_change)))
+    at = rows.select(*keys, "n", "w", "k", "i", "t", F.inline(places)).filter("t >= s").groupBy(*keys, "j", "n", "w", "k").agg(F.min("i").alias("at")).filter("at > 0 AND at < n - 1")
+    for name, place in (("b1", F.col("at") - 1), ("b0", F.greatest(F.col("at") - F.col("w"), F.lit(0))), ("a0", F.col("at")), ("a1", F.least(F.col("at") + F.col("w"), F.col("n")) - 1)):
+        own = points.select(*keys, F.col("i").alias("_i"), F.col("t").alias(f"t{name}"), F.col("ys").alias(f"y{name}"))
+        at = at.withColumn("_i", place.cast("int")).join(own, [*keys, "_i"]).drop("_i")
+    slope = lambda x: (F.col(f"y{x}1") - F.col(f"y{x}0")) / (F.col(f"t{x}1") - F.col(f"t{x}0"))
+    most = F.abs("k") * starts.MOST_DELTA[0] + starts.MOST_DELTA[1]
+    return at.select(*keys, "j", F.least(F.greatest(slope("a") - slope("b"), -most), most).alias("delta"))
+
+
 def logistic_start(y0: Column, y1: Column, c0: Column, c1: Column, span: Column, mean: Column) -> tuple[Column, Column]:
     """(k, m) of a logistic trend through the first and last point."""
     inside = lambda y, c: F.greatest(F.lit(0.01) * c, F.least(F.lit(0.99) * c, y))

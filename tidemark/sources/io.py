@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 
 def as_frame(spark: SparkSession, data: DataFrame | pd.DataFrame) -> DataFrame:
-    """A Spark frame as it is, a pandas frame (whose ds has no zone) as a Spark one; else a TypeError."""
+    """A Spark frame as it is, a pandas one or one that turns into it (polars) as a Spark one; else a TypeError.
+
+    The ds of a frame in memory has no zone.
+    """
+    if not isinstance(data, pd.DataFrame) and not hasattr(data, "sparkSession") and hasattr(data, "to_pandas"):
+        data = data.to_pandas()
     if isinstance(data, pd.DataFrame):
         df = spark.createDataFrame(data)
         return df.withColumn("ds", F.col("ds").cast("timestamp_ntz")) if dict(df.dtypes).get("ds") == "timestamp" else df
