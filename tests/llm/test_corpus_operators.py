@@ -469,7 +469,7 @@ df = spark.createDataFrame([(1, "a b c"), (2, "d e f")], "doc_id long, text stri
 run = {{
     "scan": lambda: secrets.scan(secrets.address(df)), "near": lambda: near_dedup.near_groups(df), "encode": lambda: bpe.encode(df, public_tokenizers.path(bpe.VOCABULARY)),
     "count": lambda: token_counts.count_tokens(df, public_tokenizers.path(bpe.VOCABULARY)), "quality": lambda: quality.score(df, quality.fit(np.zeros((0, 21)), np.zeros(0))),
-    "toxic": lambda: toxicity.score(df, toxicity.fit([], [], np.zeros(0), None)),
+    "toxic": lambda: toxicity.score(df, toxicity.fit([], [], np.zeros(0), np.zeros(0, int))),
     "ann": lambda: ann.nearest(*2 * [spark.createDataFrame([(1, [1.0, 2.0]), (2, [2.0, 1.0])], "vec_id long, v array<double>")], 1),
 }}[sys.argv[1]]
 assert run().count() == 2
