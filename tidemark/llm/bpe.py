@@ -27,7 +27,7 @@ from tidemark.sources.shipping import ship
 
 VOCABULARY = "word_bpe_49k.json"
 #: Memory of the words whose ids a worker keeps, beyond which it starts anew, and of one such word besides its contents.
-KEPT_BYTES, WORD_BYTES = 48 << 20, 180
+KEPT_BYTES, WORD_BYTES = 40 << 20, 180
 #: Bytes of text in a block.
 BLOCK = 2 << 20
 
