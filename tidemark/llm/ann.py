@@ -98,6 +98,9 @@ class Shard:
         entry = number[entry.ravel()]
         first = np.sort(first)
         self.x, order = x[first], order[first]
+        #: The entries in single precision, none longer than 1.
+        self.length = float(np.sqrt((self.x * self.x).sum(axis=1).max()))
+        self.single = (self.x / (self.length or 1.0)).astype(np.float32)
         members = np.argsort(entry, kind="stable")
         self.ids, self.starts = ids[members], np.searchsorted(entry[members], np.arange(len(self.x) + 1))
         self.near = order.shape[1]
@@ -119,12 +122,19 @@ class Shard:
         n = len(self.x)
         most = min(n, max(LEAST, int(share * n)))
         if most < n:
-            near = self.agreement(order)
-            edge = min(np.partition(near, n - most)[n - most], DENSE * self.near * (self.near + 1) / 2)
+            near = self.agreement(order).astype(np.int64)
+            # Entries by agreement, counted from the highest: the one at which MOST are reached is the edge.
+            edge = len(counts := np.bincount(near)) - 1 - int(np.searchsorted(np.cumsum(counts[::-1]), most))
+            edge = min(edge, DENSE * self.near * (self.near + 1) / 2)
             # Ties of the edge are all taken; entries without a common pivot only as far as they are needed.
             best = np.flatnonzero(near >= edge) if edge > 0 else np.union1d(np.flatnonzero(near), np.arange(min(n, LEAST)))
         else:
             best = np.arange(n)
+        size = float(np.sqrt((q * q).sum()))
+        if len(best) > k + 1 and 0 < size < np.inf and 0 < self.length < np.inf:
+            # In single precision first: what lies further below the k + 1st than rounding explains is not among the nearest.
+            rough = self.single[best] @ (q / size).astype(np.float32)
+            best = best[rough >= np.partition(rough, -k - 1)[-k - 1] - np.float32(4e-7 * (len(q) + 4))]
         score = (self.x[best] * q).sum(axis=1)
         top = np.lexsort((best, -score))[: k + 1]
         # An entry's k + 1 smallest ids hold all of it that can be among the nearest.
