@@ -56,6 +56,23 @@ def test_unbroken_runs():
     assert len(own.states) < kept + 100  # no table grows with a run
 
 
+@pytest.mark.parametrize("chunk", [3, 16, 1024])
+def test_chunks_of_texts_without_spaces(chunk, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", chunk)
+    library, own, rng = Tokenizer.from_file(PATH), token_counts.Transducer(PATH), random.Random(chunk)
+    few = ["'", "'", "s", "re", "'ll", "Don", "ab", "!", "...", "中文", "。", "é", "3", " ", "\n"]
+    texts = ["".join(rng.choice(few[: rng.choice((4, 8, 12, 15))]) for _ in range(rng.randrange(120))) for _ in range(600)]
+    texts.append("".join(rng.choice(few[:12]) for _ in range(6000)))
+    assert own.count(texts).tolist() == [len(library.encode(text, add_special_tokens=False).ids) for text in texts]
+
+
+def test_resets_leave_no_chunk_waiting_for_another(monkeypatch):
+    own, runs = token_counts.Transducer(PATH), []
+    monkeypatch.setattr(own, "_run", lambda *args: runs.append(len(args)) or token_counts.Transducer._run(own, *args))
+    own.count(["".join(f"{'中文' * (3 + i % 9)}。" for i in range(3000))])
+    assert runs == [3, 4]  # all chunks at once, then all their beginnings
+
+
 def test_tokens_fit_as_the_library_has_it():
     library, core, rng = Tokenizer.from_file(PATH), token_counts.transducer(PATH).words, random.Random(6)
     inner, last = list(core.inner.items()), list(core.last.items())

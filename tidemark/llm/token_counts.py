@@ -8,11 +8,12 @@ change of the number of tokens.  States and transitions are compiled when they a
 Word splitting (letters, single numbers, other characters, contractions) is part of the same transducer.
 
 Texts are laid out in chunks of equal length, which are run together, one character of every chunk at a time.  White
-space and numbers reset the transducer, so a chunk's state map is constant but for the run before the first of them.  The
-maps are composed by a prefix scan (a constant map absorbs what stands left of it); then the beginnings run again from the
-states that the scan gives them, and chunks without a reset in rounds, each from its left neighbour's end.  A run of LONG
-letters or signs is a word of its own and meets ever new states, so it goes through the transducer's core alone, whose
-states are not kept; a table of them would grow with the run.
+space, numbers and any change between letters and signs (but for a letter after a quote) reset the transducer, so a
+chunk's state map is constant but for the run before the first of them.  The maps are composed by a prefix scan (a constant
+map absorbs what stands left of it); then the beginnings run again from the states that the scan gives them, and chunks
+without a reset (letters after quotes alone) in rounds, each from its left neighbour's end.  A run of LONG letters or signs
+is a word of its own and meets ever new states, so it goes through the transducer's core alone, whose states are not kept;
+a table of them would grow with the run.
 
 Defined results: a null text is empty and has no tokens; equal texts have equal counts, and repeated rows are all kept;
 special strings inside texts count one each, as the library does by default; an empty table gives no rows; other columns
@@ -41,8 +42,9 @@ CHUNK, MOST_CELLS = 1024, 24_000_000
 BLOCK = 4 << 20
 #: Letters or signs in a row that are not laid out, and pairs of tokens whose fit is kept.
 LONG, MOST_FITS = 512, 1_000_000
-#: States that every table has: before the first white space of a chunk, and between words.
-WAITING, BETWEEN = 0, 1
+#: States that every table has: before the first reset of a chunk (at its start, after a letter, after a sign, after a
+#: quote), and between words.
+WAITING, BETWEEN, AFTER_LETTER, AFTER_SIGN, AFTER_QUOTE = range(5)
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -178,7 +180,7 @@ class WordStates:
 
 
 class Transducer:
-    """States: WAITING, BETWEEN, ("w", class, core, pending character) in a word, and ("'", ...) after a leading quote."""
+    """States: the five above, ("w", class, core, pending character) in a word, and ("'", ...) after a leading quote."""
 
     def __init__(self, path: str):
         self.bpe = word_bpe.load(path)
@@ -193,14 +195,14 @@ class Transducer:
 
     def _clear(self) -> None:
         self.words.clear()
-        self.states: list = [WAITING, BETWEEN]
-        self.number: dict = {WAITING: 0, BETWEEN: 1}
+        self.states: list = [WAITING, BETWEEN, AFTER_LETTER, AFTER_SIGN, AFTER_QUOTE]
+        self.number: dict = {state: state for state in self.states}
         self._grow(1 << 14, self.width)
 
     def _grow(self, rows: int, width: int) -> None:
         """``goes`` has the next state plus 1 (0: not compiled), ``adds`` the tokens."""
         goes, adds = np.zeros((rows, width), np.int32), np.zeros((rows, width), np.int16)
-        if hasattr(self, "goes") and len(self.states) > 2:
+        if hasattr(self, "goes") and len(self.states) > 5:
             n, m = min(rows, self.goes.shape[0]), self.goes.shape[1]
             goes[:n, :m], adds[:n, :m] = self.goes[:n], self.adds[:n]
         self.goes, self.adds, self.width = goes, adds, width
@@ -241,10 +243,10 @@ class Transducer:
         return ("w", kind, WordStates.EMPTY, char), 0
 
     def _compile(self, state, char: str, kind: int):
-        if state == WAITING:
-            return (BETWEEN if kind in (_SPACE, _NUMBER) else WAITING), 0
-        if state == BETWEEN:
+        if state == BETWEEN or (state == AFTER_LETTER and kind == _OTHER) or (state == AFTER_SIGN and kind == _LETTER):
             return self._begin(char, kind)
+        if state in (WAITING, AFTER_LETTER, AFTER_SIGN, AFTER_QUOTE):
+            return (BETWEEN if kind in (_SPACE, _NUMBER) else AFTER_LETTER if kind == _LETTER else AFTER_QUOTE if char == "'" else AFTER_SIGN), 0
         words = self.words
         if state[0] == "'":
             said = "'" + state[1] + char
@@ -347,7 +349,9 @@ class Transducer:
         entry = np.full(lanes, WAITING, np.int32)
         entry[0] = BETWEEN
         ends = self._run(laid, entry, adds)
-        resets = np.isin(np.array(self.kinds), (_SPACE, _NUMBER))[laid]
+        kinds = np.array(self.kinds, np.int8)[laid]
+        resets = (kinds == _SPACE) | (kinds == _NUMBER)
+        resets[1:] |= ((kinds[:-1] == _LETTER) & (kinds[1:] == _OTHER)) | ((kinds[:-1] == _OTHER) & (kinds[1:] == _LETTER) & (laid[:-1] != self.shared.get("'", -1)))
         reset = resets.any(axis=0)
         head = np.where(reset, resets.argmax(axis=0) + 1, CHUNK)
         # The scan: the map up to a chunk is the constant of the last chunk that has one, followed by the open ones.
