@@ -406,6 +406,25 @@ def test_cells_and_shards(spark, monkeypatch):
     assert np.mean([len(set(got[q]) & set(want[q])) / 10 for q in want]) >= 0.95
 
 
+@pytest.mark.parametrize("scale", [1.0, 1e-200, 1e-40, 1e140])
+def test_single_precision_drops_none_of_the_nearest(scale):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(400, 16))
+    x[100:200] = x[0] * (1 + 1e-12 * rng.normal(size=(100, 1)))  # closer to each other than single precision tells
+    x[200:300] = x[1] + 1e-9 * rng.normal(size=(100, 16))
+    x[399] *= 1e6
+    x *= scale
+    ids = rng.permutation(400) + 1000
+    shard = ann.Shard(ids, x, np.zeros((400, 1), "<u2"), 1)
+    for row in (0, 1, 50, 399):
+        score = (x * x[row]).sum(axis=1)
+        want = [i for i in np.lexsort((ids, -score)) if i != row][:20]
+        got, near = shard.search(x[row], np.zeros(1, "<u2"), ids[row], 20, 1.0)
+        assert near.tolist() == score[want].tolist()
+        if np.isfinite(score).all():
+            assert got.tolist() == ids[want].tolist()
+
+
 def test_agreement_is_the_footrule_distance():
     rng = np.random.default_rng(7)
     x, pivots = rng.normal(size=(300, 8)), rng.normal(size=(60, 8))

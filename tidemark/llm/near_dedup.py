@@ -12,8 +12,9 @@
 5. Documents take the smallest document of their group.
 
 A pair at the threshold misses all 32 bands with a probability of 5e-6; that is the only loss.  (The signature cut of the
-first search of step 4 loses nothing: the second search takes up all that is still apart.)  No bucket is capped, no pair of a group is made without a reason, and hot buckets,
-classes and groups are pre-aggregated or joined so that the adaptive skew join can split them.
+first search of step 4 loses nothing: the second search takes up all that is still apart.)  No bucket is capped, no pair
+of a group is made without a reason, and hot buckets, classes and groups are pre-aggregated or joined so that the adaptive
+skew join can split them.
 
 Defined results: a null text counts as empty; a text without words is linked with nothing; rows of equal doc_id and text
 are copies; rows of one doc_id, or of none, with different texts are documents of their own, so that only near copies go; a
