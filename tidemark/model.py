@@ -78,7 +78,7 @@ class Forecaster:
         """
         df = io.as_frame(SparkSession.getActiveSession() or SparkSession.builder.getOrCreate(), df)
         rows = prepare.coerce(df, self.config, keys)
-        if not keys and gram.is_exact(self.config) and _planned_bytes(rows) > LARGE_BYTES and rows.count() > LARGE_ROWS:
+        if not keys and fitting.is_exact(self.config) and _planned_bytes(rows) > LARGE_BYTES and rows.count() > LARGE_ROWS:
             try:
                 return FittedForecaster(self.config, gram.fit_large_params(df, self.config), rows, keys, n_success=1)
             except ValueError as error:

@@ -1,7 +1,7 @@
 """One enormous series: its normal equations are summed by the cluster, and only a small matrix comes to the driver.
 
-Exact for linear or flat trends with additive features.  The group function of :mod:`fitting` would hold the whole series
-in one worker; here no task holds more than a batch.
+Exact for linear or flat trends with additive features.  The group function of :mod:`fitting` reads the whole
+series in one worker; here the tasks share it, and none holds more than a batch.
 """
 
 from __future__ import annotations
@@ -64,14 +64,9 @@ def changepoint_times(rows: DataFrame, n: int, count: int, share: float, t0: int
     return np.unique([(v - t0) / 1e6 / span for v in order_statistics(rows, wanted)]) if wanted else np.zeros(0)
 
 
-def is_exact(config: Config) -> bool:
-    """Whether the normal equations of the model are fixed: linear or flat trend, additive features."""
-    return config.growth != "logistic" and "multiplicative" not in {x.mode for x in (*config.all_seasonalities(), *config.holidays, *config.regressors)}
-
-
 def fit_large(df: DataFrame, config: Config) -> dict:
     """The params of a single series of any length (a dict as of :func:`fitting.fit_series`)."""
-    if not is_exact(config):
+    if not fitting.is_exact(config):
         raise ValueError("only linear or flat trends with additive features have fixed normal equations")
     ship(df.sparkSession)
     rows = prepare.drop_null_y(prepare.coerce(df, config))

@@ -136,6 +136,20 @@ def logistic_start(t: np.ndarray, y: np.ndarray, cap: np.ndarray) -> tuple[float
     return float((a - b) / span), float(a * span / (a - b))
 
 
+def columns(growth: str, t: np.ndarray, s: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """The design matrix of a model that is linear in its parameters."""
+    if growth == "flat":
+        return np.column_stack([np.zeros_like(t), np.ones_like(t), np.zeros((len(t), len(s))), x])
+    return np.column_stack([t, np.ones_like(t), hinge(t, s), x])
+
+
+def from_moments(gram: np.ndarray, cross: np.ndarray, square: float, weight: float, prior: np.ndarray, n_s: int, tau: float) -> Estimate:
+    """The estimate of a model that is linear in its parameters, from its weighted moments."""
+    precision = np.concatenate([[1 / 25.0, 1 / 25.0], np.zeros(n_s), 1.0 / np.maximum(prior, 0.01) ** 2])
+    theta, sigma, value, steps, done = solve_gram(gram, cross, square, weight, precision, np.arange(2, 2 + n_s), max(tau, 1e-9))
+    return Estimate(float(theta[0]), float(theta[1]), theta[2 : 2 + n_s], theta[2 + n_s :], sigma, value, steps, done)
+
+
 def estimate(growth: str, t: np.ndarray, y: np.ndarray, cap: np.ndarray | None, w: np.ndarray, x: np.ndarray, multiplicative: np.ndarray, prior: np.ndarray, s: np.ndarray, tau: float, most: int = 400) -> Estimate:
     """``x``: features; ``multiplicative``: which of its columns; ``prior``: their scales; ``s``: changepoints, ascending."""
     n_s, n_x = len(s), x.shape[1]
@@ -145,12 +159,9 @@ def estimate(growth: str, t: np.ndarray, y: np.ndarray, cap: np.ndarray | None,
     precision = np.concatenate([[1 / 25.0, 1 / 25.0], np.zeros(n_s), beta_precision])
     laplace = np.arange(2, 2 + n_s)
     if growth != "logistic" and not multiplicative.any():
-        columns = [np.zeros_like(t) if growth == "flat" else t, np.ones_like(t)]
-        shape = np.zeros((len(t), n_s)) if growth == "flat" else hinge(t, s)
-        design = np.column_stack([*columns, shape, x])
+        design = columns(growth, t, s, x)
         weighted = design * w[:, None]
-        theta, sigma, value, steps, done = solve_gram(design.T @ weighted, weighted.T @ y, float((w * y * y).sum()), weight, precision, laplace, tau)
-        return Estimate(float(theta[0]), float(theta[1]), theta[2 : 2 + n_s], theta[2 + n_s :], sigma, value, steps, done)
+        return from_moments(design.T @ weighted, weighted.T @ y, float((w * y * y).sum()), weight, prior, n_s, tau)
 
     if growth == "logistic":
         k0, m0 = logistic_start(t, y, cap)
